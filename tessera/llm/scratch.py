@@ -42,6 +42,10 @@ class Scratch:
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def forget(self, name: str) -> None:
+        """Delete one table that nothing reads any more."""
+        self._delete(f"{self.path}/{name}")
+
     def drop(self, *names: str) -> None:
         """Delete tables that no lazy result still reads, and let Spark free old shuffle files."""
         for name in names:
