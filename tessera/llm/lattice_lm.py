@@ -3,8 +3,10 @@
 The vocabulary is that of an existing subword model; a word, with the mark of
 its start, is a lattice of all ways to spell it by pieces. Piece weights start
 from the vocabulary's own scores and are re-estimated by expectation
-maximisation over the words of the training documents, each counted as often as
-it occurs. A text's probability is the product over its words of the lattice's
+maximisation over the distinct words of the training documents (each once, as
+spelling has to serve words not met before). A word met in training is one more arc over its whole lattice, with
+its discounted relative frequency; the discount pays for all spelled ways. A
+text's probability is the product over its words of the lattice's
 total weight, by a forward recursion in log space, and one end of text.
 
 The corpus is gathered as a table of distinct words with counts, whose size
@@ -39,13 +41,15 @@ from . import bytewise
 from .scratch import Scratch
 
 FOLDS, HELD_OUT = 7, 2
-ROUNDS = 2
+ROUNDS = 3
 CHUNK_DOCS = 4000
 _START = "▁"
 _find = re.compile(r"[^\x20\x09-\x0D]+").findall
 _CAPITALS = {i: i + 32 for i in range(65, 91)}
 #: Added to a piece's expected count, so that none is impossible.
 _PRIOR = 0.01
+#: Taken from the count of each word met in training.
+DISCOUNT = 0.7
 
 
 def default_vocabulary() -> str:
@@ -198,19 +202,18 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nd
         def count(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             grid, total = lattice(path), None
             for batch in batches:
-                n = batch.column(1).to_numpy()
                 total = np.zeros(grid.size) if total is None else total
-                for i, part in _batches(batch.column(0)):
-                    total += grid.expected(part, n[i : i + len(part)], now.value)
+                for _, part in _batches(batch.column(0)):
+                    total += grid.expected(part, np.ones(len(part)), now.value)
             if total is not None:
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.float64())], names=["piece", "n"])
 
-        rows = words.where("trained > 0").select("word", "trained").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        rows = words.where("trained > 0").select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         counts = np.full(grid.size, _PRIOR)  # as many rows as the vocabulary has pieces at most
         for r in rows:
             counts[r["piece"]] += r["n"]
-        counts[grid.end] += ends
+        counts[grid.end] += min(ends, counts.sum())
         log_p = np.log(counts / counts.sum())
     return log_p
 
@@ -235,29 +238,36 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, rounds: int
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [lattice(path).score(part, log_p.value) for _, part in _batches(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(got or [np.zeros(0)]))], names=["word", "trained", "log_p"])
+            spelled = np.concatenate(got or [np.zeros(0)])
+            whole = np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0.0) / max(train_tokens, 1)
+            with np.errstate(divide="ignore"):
+                both = np.logaddexp(np.log(whole), spelled + np.log(share))
+            cols = [batch.column(0), batch.column(1), pa.array(both), pa.array(spelled)]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "trained", "log_p", "spelled"])
 
-    priced = tmp.table("priced", words.mapInArrow(price, "word string, trained long, log_p double"))
-    prices = bags.select("word", "chunk").join(priced, "word").select(F.col("chunk").alias("chunk"), "word", "trained", "log_p")
+    share = DISCOUNT * known / train_tokens if train_tokens else 1.0
+    priced = tmp.table("priced", words.mapInArrow(price, "word string, trained long, log_p double, spelled double"))
+    prices = bags.select("word", "chunk").join(priced, "word").select(F.col("chunk").alias("chunk"), "word", "trained", "log_p", "spelled")
     smooth = np.log10(train_tokens + distinct + 1)
     end_base = float(np.log10(n_train + 1) - smooth)
+    end_spelled = float(log_p.value[-1])
+    end_whole = float(np.log(n_train / train_tokens)) if n_train else end_spelled
+    doc_type = dict(docs.dtypes)["doc_id"]
+    figures = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "spelled_score": pa.float64()}
 
     def score(_key: tuple, chunk: pa.Table, table: pa.Table) -> pa.Table:
         index = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        c = table.column("trained").to_numpy() if table.num_rows else np.zeros(0)
-        base, model = np.log10(c + 1.0) - smooth, table.column("log_p").to_numpy() / np.log(10.0) if table.num_rows else np.zeros(0)
-        end = float(log_p.value[-1] / np.log(10.0))
+        c, whole, spelled = (np.asarray(table.column(n).to_numpy(), float) for n in ("trained", "log_p", "spelled"))
+        base = np.log10(c + 1.0) - smooth
         rows = []
         for text in chunk.column("text"):
-            words_ = _find((text.as_py() or "").translate(_CAPITALS))
-            k = np.fromiter(map(index.__getitem__, words_), np.int64, len(words_))
-            rows.append((len(words_) + 1, int((c[k] > 0).sum()) + (n_train > 0), float(base[k].sum()) + end_base, float(model[k].sum()) + end))
-        cols = list(zip(*rows))
-        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()), "base_score": pa.array(cols[2]), "score": pa.array(cols[3])})
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def whole(key: tuple, chunk: pa.Table, table: pa.Table) -> pa.Table:
-        return score(key, chunk, table) if chunk.num_rows else pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), **{n: pa.array([], pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")}, **{n: pa.array([], pa.float64()) for n in ("base_score", "score")}})
-
-    return dealt.groupBy("chunk").cogroup(prices.groupBy("chunk")).applyInArrow(whole, schema)
+            found = _find((text.as_py() or "").translate(_CAPITALS))
+            k = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+            known_here = int((c[k] > 0).sum()) + (n_train > 0)
+            sums = [base[k].sum() + end_base, (whole[k].sum() + end_whole) / np.log(10.0), (spelled[k].sum() + end_spelled) / np.log(10.0)]
+            rows.append((len(found) + 1, known_here, train_tokens, *map(float, sums)))
+        cols = {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(figures.items())}
+        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), **cols})
+
+    schema = f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
+    return dealt.groupBy("chunk").cogroup(prices.groupBy("chunk")).applyInArrow(score, schema)

@@ -161,3 +161,19 @@ def _drawn(seat: Column, n: Column, salt: Column) -> Column:
     steps = F.concat(F.slice(F.array(*map(F.lit, primes)), turn + 1, F.lit(len(primes))), F.slice(F.array(*map(F.lit, primes)), F.lit(1), turn))
     step = F.get(F.filter(steps, lambda p: n % p != 0), F.lit(0))
     return F.pmod(F.pmod(seat, n) * step + F.pmod(salt, n), n).cast("long")
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, all columns as they are, a row for each taking.
+
+    A document of which ``taken`` words are wanted comes taken / size times,
+    rounded to whole documents (at least once if blocks took some of it); blocks
+    cut two documents at most, so a source's words stay within a block or two of
+    what its seats take. Rows of one id and text are taken alike.
+    """
+    chosen = mix(docs.select("doc_id", "source", "text"), **options).documents
+    times = chosen.where("taken > 0").groupBy("doc_id").agg(F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias("times"))
+    n = native.fresh(docs, "times")
+    joined = docs.join(times.select(F.col("doc_id").alias("taken_id"), F.col("times").alias(n)), F.col("doc_id") == F.col("taken_id"))
+    copies = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(n))))
+    return copies.select(*docs.columns)
