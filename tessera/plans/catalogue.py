@@ -1,4 +1,224 @@
-"""Registered queries."""
-def flagship(spark, d): return spark.range(1)
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.predicates import Filters
+from ..operators import history
+from ..operators.merge import ours, theirs, three_way
+from ..operators.mutate import Mutations, content_hash
+from ..sources.external import tables
+from .execute import frames
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: name: (request, flat columns of its result or none, SQL)
+REQUESTS: dict[str, tuple[str, list[str] | None, str]] = {
+    "list_all": ("{ listNation { nationkey name } }", None, "SELECT n_nationkey AS nationkey, n_name AS name FROM nation"),
+    "find_by_id": ("{ findOrder(id: 42) { orderkey totalprice } }", None, "SELECT o_orderkey AS orderkey, o_totalprice AS totalprice FROM orders WHERE o_orderkey = 42"),
+    "filter_eq": ('{ listCustomer(filter: {mktsegment: {eq: "BUILDING"}}) { custkey } }', None, "SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "filter_neq": ('{ listOrder(filter: {orderstatus: {neq: "F"}}) { orderkey } }', None, "SELECT o_orderkey AS orderkey FROM orders WHERE o_orderstatus <> 'F'"),
+    "filter_gt": ("{ listLineitem(filter: {quantity: {gt: 45}}) { orderkey quantity } }", None, "SELECT l_orderkey AS orderkey, l_quantity AS quantity FROM lineitem WHERE l_quantity > 45"),
+    "filter_gte": ("{ listPart(filter: {size: {gte: 40}}) { partkey size } }", None, "SELECT p_partkey AS partkey, p_size::BIGINT AS size FROM part WHERE p_size >= 40"),
+    "filter_lt": ("{ listPart(filter: {size: {lt: 5}}) { partkey } }", None, "SELECT p_partkey AS partkey FROM part WHERE p_size < 5"),
+    "filter_lte": ("{ listCustomer(filter: {acctbal: {lte: 0}}) { custkey acctbal } }", None, "SELECT c_custkey AS custkey, c_acctbal AS acctbal FROM customer WHERE c_acctbal <= 0"),
+    "filter_in": ("{ listNation(filter: {nationkey: {in: [1, 3, 5]}}) { name } }", None, "SELECT n_name AS name FROM nation WHERE n_nationkey IN (1, 3, 5)"),
+    "filter_nin": ("{ listNation(filter: {nationkey: {nin: [1, 3, 5]}}) { name } }", None, "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (1, 3, 5)"),
+    "filter_range": ("{ listLineitem(filter: {quantity: {gte: 10, lt: 12}}) { orderkey quantity } }", None, "SELECT l_orderkey AS orderkey, l_quantity AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 12"),
+    "filter_and": ('{ listLineitem(filter: {and: [{returnflag: {eq: "R"}}, {linestatus: {eq: "F"}}]}) { orderkey linenumber } }', None, "SELECT l_orderkey AS orderkey, l_linenumber::BIGINT AS linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'"),
+    "filter_or": ("{ listPart(filter: {or: [{size: {eq: 1}}, {retailprice: {gt: 1900}}]}) { partkey } }", None, "SELECT p_partkey AS partkey FROM part WHERE p_size = 1 OR p_retailprice > 1900"),
+    "filter_not": ("{ listPart(filter: {not: {size: {gt: 3}}}) { partkey } }", None, "SELECT p_partkey AS partkey FROM part WHERE NOT p_size > 3"),
+    "filter_nested_bool": ('{ listOrder(filter: {or: [{and: [{totalprice: {gt: 300000}}, {not: {orderstatus: {eq: "O"}}}]}, {orderkey: {in: [1, 2]}}]}) { orderkey } }', None, "SELECT o_orderkey AS orderkey FROM orders WHERE (o_totalprice > 300000 AND NOT o_orderstatus = 'O') OR o_orderkey IN (1, 2)"),
+    "filter_string_order": ('{ listPart(filter: {name: {gt: "m"}}) { partkey } }', None, "SELECT p_partkey AS partkey FROM part WHERE p_name > 'm'"),
+    "filter_bool_eq": ("{ listEvent(filter: {big: {eq: true}}) { event_id } }", None, "SELECT event_id FROM events WHERE (value > 50) = true"),
+    "filter_null_field": ("{ listEvent(filter: {sparse: {gt: 20}}) { event_id } }", None, "SELECT event_id FROM events WHERE (CASE WHEN event_id % 7 <> 0 THEN value END) > 20"),
+    "list_all_scalar": ("{ listEmbedding(filter: {embedding: {all: [{gt: -0.9}, {lt: 0.9}]}}) { vec_id } }", None, "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT (x::DOUBLE > -0.9 AND x::DOUBLE < 0.9))) = 0"),
+    "list_any_scalar": ("{ listEmbedding(filter: {embedding: {any: [{gt: 0.3}]}}) { vec_id } }", None, "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x::DOUBLE > 0.3)) > 0"),
+    "list_none_scalar": ("{ listEmbedding(filter: {embedding: {none: [{gt: 0.3}]}}) { vec_id } }", None, "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x::DOUBLE > 0.3)) = 0"),
+    "rel_filter_one": ("{ listOrder(filter: {customer: {acctbal: {lt: 0}}}) { orderkey } }", None, "SELECT o_orderkey AS orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)"),
+    "rel_filter_two_hop": ("{ listCustomer(filter: {nation: {region: {regionkey: {eq: 1}}}}) { custkey } }", None, "SELECT c_custkey AS custkey FROM customer WHERE EXISTS (SELECT 1 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = c_nationkey AND r_regionkey = 1)"),
+    "rel_filter_or": ("{ listOrder(filter: {or: [{customer: {acctbal: {lt: -900}}}, {totalprice: {gt: 450000}}]}) { orderkey } }", None, "SELECT o_orderkey AS orderkey FROM orders WHERE o_totalprice > 450000 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < -900)"),
+    "rel_all": ("{ listOrder(filter: {lines: {all: [{quantity: {gt: 45}}]}}) { orderkey } }", None, "SELECT o_orderkey AS orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT l_quantity > 45)"),
+    "rel_any": ("{ listOrder(filter: {lines: {any: [{quantity: {gt: 45}}]}}) { orderkey } }", None, "SELECT o_orderkey AS orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"),
+    "rel_none": ("{ listOrder(filter: {lines: {none: [{quantity: {gt: 45}}]}}) { orderkey } }", None, "SELECT o_orderkey AS orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"),
+    "project_alias_typename": ("{ listRegion { kind: __typename title: name } }", None, "SELECT 'Region' AS kind, r_name AS title FROM region"),
+    "project_rel_one": ("{ listCustomer { custkey nation { name } } }", ["custkey", "nation.name AS nation_name"], "SELECT c_custkey AS custkey, n_name AS nation_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey"),
+    "project_two_hop": ("{ listCustomer { custkey nation { name region { name } } } }", ["custkey", "nation.name AS nation_name", "nation.region.name AS region_name"], "SELECT c_custkey AS custkey, n_name AS nation_name, r_name AS region_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"),
+    "project_rel_list": ("{ listOrder { orderkey lines { linenumber } } }", ["orderkey", "CAST(size(lines) AS BIGINT) AS n_lines", "CAST(aggregate(lines, 0L, (a, x) -> a + x.linenumber) AS BIGINT) AS sum_linenumber"], "SELECT o_orderkey AS orderkey, count(l_orderkey) AS n_lines, coalesce(sum(l_linenumber), 0)::BIGINT AS sum_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"),
+    "filter_and_project": ("{ listLineitem(filter: {order: {totalprice: {gt: 400000}}, quantity: {gt: 48}}) { orderkey order { totalprice } } }", ["orderkey", "`order`.totalprice AS totalprice"], "SELECT l_orderkey AS orderkey, o_totalprice AS totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 400000 AND l_quantity > 48"),
+}
+
+
+def _request(text: str, columns: list[str] | None) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        schema, snapshot = tables(spark, d)
+        frame = next(iter(frames(schema, snapshot, text).values()))
+        frame = frame.selectExpr(*columns) if columns else frame
+        wide = [F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in frame.dtypes]
+        return frame.select(*wide)
+
+    return run
+
+
+def _mutations(spark: SparkSession, d: str) -> Mutations:
+    """The tables with keys as text, which new documents' ids are."""
+    schema, snapshot = tables(spark, d)
+    keys = lambda n: {"id"} | {f for f, t in schema.type(n).fields.items() if schema.is_relation(t)}
+    text = {n: s.select(*[F.col(c).cast("string").alias(c) if c in keys(n) else F.col(c) for c in s.columns]) for n, s in snapshot.items()}
+    return Mutations(spark, schema, text)
+
+
+def create_insert(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.create("Region", {"regionkey": 99, "name": "ATLANTIS"})
+    return m.snapshot["Region"].select(F.col("regionkey").cast("long").alias("regionkey"), "name")
+
+
+def create_nested(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.create("Nation", {"nationkey": 99, "name": "LEMURIA", "region": {"regionkey": 98, "name": "MU"}})
+    new = Filters(m.schema, m.snapshot).apply("Nation", m.snapshot["Nation"], {"nationkey": {"eq": 99}})
+    region = m.snapshot["Region"]
+    return new.join(region, new["region"] == region["id"]).select(new["name"].alias("nation"), region["name"].alias("region"))
+
+
+def update_set(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.update("Part", {"size": {"gt": 40}}, {"brand": {"set": "BIG"}})
+    return m.snapshot["Part"].select("partkey", "brand")
+
+
+def update_result(spark: SparkSession, d: str) -> DataFrame:
+    return _mutations(spark, d).update("Part", {"size": {"gt": 40}}, {"size": {"set": 1}}).select("partkey", F.col("size").cast("long").alias("size"))
+
+
+def update_append(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.update("Embedding", {"label": {"eq": 1}}, {"embedding": {"append": 7}})
+    return m.snapshot["Embedding"].select("vec_id", F.size("embedding").cast("long").alias("n"), F.element_at("embedding", -1).alias("last"))
+
+
+def update_list_filter(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.update("Embedding", {}, {"embedding": {"filter": {"all": [{"gt": 0}]}}})
+    return m.snapshot["Embedding"].select("vec_id", F.size("embedding").cast("long").alias("n"))
+
+
+def update_relation(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.update("Customer", {"acctbal": {"lt": -990}}, {"nation": {"name": {"set": "POOR"}}})
+    return m.snapshot["Nation"].select(F.col("nationkey").cast("long").alias("nationkey"), "name")
+
+
+def delete_remaining(spark: SparkSession, d: str) -> DataFrame:
+    m = _mutations(spark, d)
+    m.delete("Event", {"sparse": {"gt": 20}})
+    return m.snapshot["Event"].select("event_id")
+
+
+def delete_result(spark: SparkSession, d: str) -> DataFrame:
+    return _mutations(spark, d).delete("Event", {"sparse": {"gt": 90}}).select("event_id", "value")
+
+
+def content_digest(spark: SparkSession, d: str) -> DataFrame:
+    schema, snapshot = tables(spark, d)
+    return snapshot["Region"].select(F.col("regionkey").cast("long").alias("regionkey"), content_hash(schema, "Region").alias("digest"))
+
+
+def dump_ids(spark: SparkSession, d: str) -> DataFrame:
+    _, snapshot = tables(spark, d)
+    ids = snapshot["Nation"].select(F.lit("Nation").alias("collection"), F.col("id").cast("long").alias("id"))
+    ids = ids.unionByName(snapshot["Region"].select(F.lit("Region").alias("collection"), F.col("id").cast("long").alias("id")))
+    return ids.groupBy("collection").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+_DAG = {"m2": ["m"], "m": ["a", "b"], "a": ["r"], "b": ["r"], "c": ["b"], "r": []}
+_DAG_SQL = "edges(c, p) AS (VALUES ('m2','m'), ('m','a'), ('m','b'), ('a','r'), ('b','r'), ('c','b'))"
+
+
+def commit_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in history.ancestors(_DAG, "m2")], "hash string")
+
+
+def merge_base(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in history.merge_bases(_DAG, "m2", "c")], "hash string")
+
+
+def independents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in history.independents(_DAG, ["r", "a", "c", "m2"])], "hash string")
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "event_type", "value")
+    own = base.where("id % 7 <> 0").withColumn("value", F.when(F.col("id") % 10 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    other = (
+        base.where("id % 11 <> 0").withColumn("event_type", F.when(F.col("id") % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+        .withColumn("value", F.when(F.col("id") % 20 == 0, F.col("value") + 2).otherwise(F.col("value")))
+    )
+    return base, own, other
+
+
+def merge_threeway_theirs(spark: SparkSession, d: str) -> DataFrame:
+    return three_way(*_sides(spark, d), resolver=theirs)
+
+
+def merge_threeway_ours(spark: SparkSession, d: str) -> DataFrame:
+    return three_way(*_sides(spark, d), resolver=ours)
+
+
+def _merge_sql(pick: str, gone_ours: str, gone_theirs: str) -> str:
+    """gone_*: what stays where that side deleted a row which the other changed."""
+    return f"""WITH b AS (SELECT event_id AS id, event_type, value FROM events),
+      o AS (SELECT id, event_type, CASE WHEN id % 10 = 0 THEN value + 1 ELSE value END AS value FROM b WHERE id % 7 <> 0),
+      t AS (SELECT id, CASE WHEN id % 5 = 0 THEN upper(event_type) ELSE event_type END AS event_type,
+                   CASE WHEN id % 20 = 0 THEN value + 2 ELSE value END AS value FROM b WHERE id % 11 <> 0)
+      SELECT b.id, CASE WHEN t.event_type IS NOT DISTINCT FROM b.event_type THEN o.event_type WHEN o.event_type IS NOT DISTINCT FROM b.event_type THEN t.event_type ELSE {pick}.event_type END AS event_type,
+             CASE WHEN t.value IS NOT DISTINCT FROM b.value THEN o.value WHEN o.value IS NOT DISTINCT FROM b.value THEN t.value ELSE {pick}.value END AS value
+      FROM b JOIN o ON o.id = b.id JOIN t ON t.id = b.id
+      UNION ALL SELECT t.id, t.event_type, t.value FROM b JOIN t ON t.id = b.id LEFT JOIN o ON o.id = b.id
+        WHERE o.id IS NULL AND (t.event_type <> b.event_type OR t.value <> b.value) AND {gone_ours}
+      UNION ALL SELECT o.id, o.event_type, o.value FROM b JOIN o ON o.id = b.id LEFT JOIN t ON t.id = b.id
+        WHERE t.id IS NULL AND (o.event_type <> b.event_type OR o.value <> b.value) AND {gone_theirs}"""
+
+
+_PLAIN: dict[str, tuple[Query, str]] = {
+    "create_insert": (create_insert, "SELECT r_regionkey::BIGINT AS regionkey, r_name AS name FROM region UNION ALL SELECT 99, 'ATLANTIS'"),
+    "create_nested": (create_nested, "SELECT 'LEMURIA' AS nation, 'MU' AS region"),
+    "update_set": (update_set, "SELECT p_partkey AS partkey, CASE WHEN p_size > 40 THEN 'BIG' ELSE p_brand END AS brand FROM part"),
+    "update_result": (update_result, "SELECT p_partkey AS partkey, 1::BIGINT AS size FROM part WHERE p_size > 40"),
+    "update_append": (update_append, "WITH e AS (SELECT vec_id, CASE WHEN label = 1 THEN list_append(embedding::DOUBLE[], 7.0::DOUBLE) ELSE embedding::DOUBLE[] END AS x FROM embeddings) SELECT vec_id, len(x)::BIGINT AS n, x[-1] AS last FROM e"),
+    "update_list_filter": (update_list_filter, "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS n FROM embeddings"),
+    "update_relation": (update_relation, "SELECT n_nationkey::BIGINT AS nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -990) THEN 'POOR' ELSE n_name END AS name FROM nation"),
+    "delete_remaining": (delete_remaining, "SELECT event_id FROM events WHERE NOT coalesce((CASE WHEN event_id % 7 <> 0 THEN value END) > 20, false)"),
+    "delete_result": (delete_result, "SELECT event_id, value FROM events WHERE event_id % 7 <> 0 AND value > 90"),
+    "content_digest": (content_digest, """SELECT r_regionkey::BIGINT AS regionkey, sha256('Region' || chr(10) || 'name={"name":"' || r_name || '"}' || chr(10) || 'regionkey={"regionkey":' || r_regionkey || '}') AS digest FROM region"""),
+    "dump_ids": (dump_ids, "SELECT 'Nation' AS collection, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS ids FROM nation UNION ALL SELECT 'Region', string_agg(r_regionkey::VARCHAR, ',' ORDER BY r_regionkey) FROM region"),
+    "commit_ancestors": (commit_ancestors, f"WITH RECURSIVE {_DAG_SQL}, up(hash) AS (SELECT 'm2' UNION SELECT p FROM edges JOIN up ON c = hash) SELECT hash FROM up"),
+    "merge_base": (merge_base, f"WITH RECURSIVE {_DAG_SQL}, x(h) AS (SELECT 'm2' UNION SELECT p FROM edges JOIN x ON c = h), y(h) AS (SELECT 'c' UNION SELECT p FROM edges JOIN y ON c = h), z AS (SELECT h FROM x INTERSECT SELECT h FROM y) SELECT h AS hash FROM z WHERE h NOT IN (SELECT p FROM edges JOIN z ON c = h)"),
+    "independents": (independents, f"WITH RECURSIVE {_DAG_SQL}, s(h) AS (VALUES ('r'), ('a'), ('c'), ('m2')), below(top, h) AS (SELECT h, p FROM s JOIN edges ON c = h UNION SELECT top, p FROM below JOIN edges ON c = h) SELECT h AS hash FROM s WHERE h NOT IN (SELECT h FROM below)"),
+    "merge_threeway_theirs": (merge_threeway_theirs, _merge_sql("t", "true", "false")),
+    "merge_threeway_ours": (merge_threeway_ours, _merge_sql("o", "false", "true")),
+}
+
+
+def introspect_types(spark: SparkSession, d: str) -> DataFrame:
+    schema, _ = tables(spark, d)
+    rows = [(t["kind"], t["name"], len(t["fields"] or t["inputFields"] or [])) for t in schema.introspection()["types"]]
+    return spark.createDataFrame(rows, "kind string, name string, members int")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Two relation hops and a relation predicate in one plan."""
+    return _request("{ listCustomer(filter: {acctbal: {gt: 0}}) { custkey nation { name region { name } } } }", ["custkey", "nation.name AS nation_name", "nation.region.name AS region_name"])(spark, d)
+
+
+def queries() -> dict[str, Query]:
+    return {n: _request(t, c) for n, (t, c, _) in REQUESTS.items()} | {n: q for n, (q, _) in _PLAIN.items()} | {"introspect_types": introspect_types}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: s for n, (_, _, s) in REQUESTS.items()} | {n: s for n, (_, s) in _PLAIN.items()}
