@@ -65,7 +65,7 @@ class LineRules:
     separators: str = "|»·•"
     words_per_item: float = 3.0
     least_separators: int = 2
-    run_on_words: int = 30
+    run_on_words: int = 100
     furniture: tuple[str, ...] = FURNITURE
     furniture_words: int = 20
     most_lost: float = 0.5
