@@ -306,11 +306,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     numbered = open_.select("root", "doc_id", "n").distinct().withColumn("part", F.floor((F.row_number().over(inside) - 1) / CHUNK))
     chunks = tmp.table("chunks", numbered)
     in_list = open_.join(chunks.select("doc_id", "part"), "doc_id")
-    here = in_list.groupBy("list", "root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = chunks.groupBy("root").agg(F.count("*").alias("w"))
+    here = in_list.groupBy("list", "root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).join(sizes, "root")
+    # of two groups the smaller asks the larger, whose chunks are few beside its members
+    asks = (F.col("q.w") < F.col("g.w")) | ((F.col("q.w") == F.col("g.w")) & (F.col("q.root") > F.col("g.root")))
     t, u = THRESHOLD
     ask = (
-        open_.alias("q").join(here.alias("g"), F.col("q.list") == F.col("g.list"))
-        .where((F.col("q.root") > F.col("g.root")) & (F.col("q.n") * u >= F.col("g.lo") * t) & (F.col("g.hi") * u >= F.col("q.n") * t))
+        open_.join(sizes, "root").alias("q").join(here.alias("g"), F.col("q.list") == F.col("g.list"))
+        .where(asks & (F.col("q.n") * u >= F.col("g.lo") * t) & (F.col("g.hi") * u >= F.col("q.n") * t))
         .select("g.root", "g.part", "q.doc_id").distinct()
     )
     place = F.struct("root", "part").alias("chunk")
