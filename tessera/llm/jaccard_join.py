@@ -8,9 +8,14 @@ of 0.75 or more; the result is the connected components of those links.
    size, which orders shingles from rare to frequent.
 2. A set's prefix is its rarest 1 - 0.75 share and one more: similar sets share
    a prefix shingle (prefix filter), so documents of one prefix shingle make a
-   list. A list's first document is its leader.
-3. Every other document of a list is held against the leader. What links makes
-   groups of documents that are similar by construction.
+   list, each with its room: how many of its shingles are as frequent or more.
+   At their first common shingle two sets share at most the lesser room; where
+   that bound is too low the pair needs no test in this list. The smaller set of
+   a link has room for 6/7 of itself: lists without such a set hold no link.
+   So texts around one common passage, unlike in the rest, do not meet in it.
+3. A list's first set with that room is its leader. Every other document of the
+   list is held against it, if the bound allows. What links makes groups of
+   documents that are similar by construction.
 4. In lists that still lie in several groups, a group (in chunks of bounded
    size) keeps the union of its members' shingles, and a document of another
    group is first held against that union: the overlap bounds its similarity to
@@ -134,7 +139,7 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: in
     shift = np.uint64(64 - SKETCH_BITS)
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        ids, sizes, shingles, owners = [], [], [], []
+        ids, sizes, shingles, owners, rooms = [], [], [], [], []
         for doc_id, s in _sets(batch):
             if not len(s) or (d := _digest(s)) in seen:
                 continue
@@ -143,22 +148,23 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: in
             order = np.lexsort((s, sketch[(s >> shift).astype(np.int64)]))[:k]
             shingles.append(s[order])
             owners.append(np.full(k, len(ids), np.int32))
+            rooms.append(len(s) - np.arange(k))
             ids.append(doc_id)
             sizes.append(len(s))
         if len(seen) > 200_000:
             seen.clear()
         if not ids:
             continue
-        h, o = np.concatenate(shingles), np.concatenate(owners)
+        h, o, room = np.concatenate(shingles), np.concatenate(owners), np.concatenate(rooms)
         b = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(b, kind="stable")
-        h, o, b = h[by], o[by], b[by]
+        h, o, room, b = h[by], o[by], room[by].astype("<i8"), b[by]
         cuts = np.searchsorted(b, np.arange(buckets + 1))
         doc, n = np.array(ids, np.int64), np.array(sizes, np.int64)
         full = np.flatnonzero(np.diff(cuts))
-        rows = [(int(i), h[cuts[i] : cuts[i + 1]].tobytes(), *_owners(o[cuts[i] : cuts[i + 1]], doc, n)) for i in full]
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=["bucket", "shingles", "docs", "sizes"])
+        rows = [(int(i), h[(c := slice(cuts[i], cuts[i + 1]))].tobytes(), room[c].tobytes(), *_owners(o[c], doc, n)) for i in full]
+        types = [pa.int32()] + [pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=["bucket", "shingles", "rooms", "docs", "sizes"])
 
 
 def _owners(o: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,11 +175,14 @@ def _owners(o: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes
     return np.stack([doc[own], counts]).astype("<i8").tobytes(), n[own].astype("<i8").tobytes()
 
 
-_LISTS = "list long, doc_id long, n long, leader long, leader_n long, k long"
+_LISTS = "list long, doc_id long, n long, room long, k long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Lists of two or more documents of one prefix shingle; equal lists once."""
+    """Lists of two or more documents of one prefix shingle that can hold a link.
+
+    Equal lists are one list, with each document's largest room.
+    """
     h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")])
     docs, sizes = [], []
     for x, n in zip(table.column("docs"), table.column("sizes")):
@@ -181,31 +190,35 @@ def _lists(table: pa.Table) -> pa.Table:
         docs.append(np.repeat(pair[0], pair[1]))
         sizes.append(np.repeat(np.frombuffer(n.as_py(), "<i8"), pair[1]))
     d, n = np.concatenate(docs), np.concatenate(sizes)
+    room = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("rooms")])
     order = np.lexsort((d, h))
-    h, d, n = h[order], d[order], n[order]
+    h, d, n, room = h[order], d[order], n[order], room[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    h, d, n = h[new], d[new], n[new]
+    h, d, n, room = h[new], d[new], n[new], room[new]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     k = np.diff(np.append(first, len(h)))
-    big = k >= 2
+    t, u = THRESHOLD
+    big = (k >= 2) & np.maximum.reduceat((t + u) * room >= 2 * t * n, first)
     keep = np.repeat(big, k)
-    h, d, n = h[keep], d[keep], n[keep]
-    k = k[big]
-    at = np.cumsum(k) - k
-    with np.errstate(over="ignore"):
-        name = bytewise.mix(np.add.reduceat(bytewise.mix(d.astype(np.uint64)), at) + k.astype(np.uint64)) if len(k) else np.zeros(0, np.uint64)
-    _, one = np.unique(name, return_index=True)
-    rows = np.concatenate([np.arange(a, a + c) for a, c in zip(at[one], k[one])]) if len(one) else np.zeros(0, np.int64)
-    reps = k[one]
-    head = np.repeat(at[one], reps)
-    cols = [np.repeat(name[one], reps).astype(np.int64), d[rows], n[rows], d[head], n[head], np.repeat(reps, reps)]
-    return pa.Table.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["list", "doc_id", "n", "leader", "leader_n", "k"])
-
-
-def similar_sizes(a: str, b: str) -> Column:
-    """Sizes that can reach the threshold."""
+    d, n, room, k = d[keep], n[keep], room[keep], k[big]
+    name, reps = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(k):
+        with np.errstate(over="ignore"):
+            name = bytewise.mix(np.add.reduceat(bytewise.mix(d.astype(np.uint64)), np.cumsum(k) - k) + k.astype(np.uint64))
+        name, reps = np.repeat(name, k), np.repeat(k, k)
+        order = np.lexsort((d, name))
+        name, reps, d, n, room = name[order], reps[order], d[order], n[order], room[order]
+        one = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (d[1:] != d[:-1])]))
+        room = np.maximum.reduceat(room, one)
+        name, reps, d, n = name[one], reps[one], d[one], n[one]
+    cols = [name.astype(np.int64), d, n, room, reps]
+    return pa.Table.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["list", "doc_id", "n", "room", "k"])
+
+
+def may_link(n: Column, room: Column, least_n: Column, other_room: Column) -> Column:
+    """Sets that share the lesser room at most, and of these sizes at least, can reach the threshold."""
     t, u = THRESHOLD
-    return F.least(a, b) * u >= F.greatest(a, b) * t
+    return F.least(room, other_room) * (t + u) >= (n + least_n) * t
 
 
 def links(a: int, b: int, both: np.ndarray) -> np.ndarray:
@@ -276,14 +289,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(sketch.astype(np.uint32 if sketch.max(initial=0) < 2**32 else np.uint64))
 
     postings = texts.where("text is not null").mapInArrow(
-        lambda it: _postings(it, order.value, buckets), "bucket int, shingles binary, docs binary, sizes binary"
+        lambda it: _postings(it, order.value, buckets), "bucket int, shingles binary, rooms binary, docs binary, sizes binary"
     )
-    lists = tmp.table("lists", postings.groupBy("bucket").applyInArrow(_lists, _LISTS).dropDuplicates(["list", "doc_id"]))
+    by_bucket = postings.groupBy("bucket").applyInArrow(_lists, _LISTS)
+    lists = tmp.table("lists", by_bucket.groupBy("list", "doc_id", "n", "k").agg(F.max("room").alias("room")))
 
     classes = profile.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("root"), F.count("*").alias("copies")).where("copies > 1")
     same = profile.join(classes, ["n", "d1", "d2"]).where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
-    stars = lists.where((F.col("doc_id") != F.col("leader")) & similar_sizes("n", "leader_n")).select("leader", "doc_id").distinct()
+    t, u = THRESHOLD
+    wide = F.when(F.col("room") * (t + u) >= F.col("n") * 2 * t, F.struct("doc_id", "n", "room"))
+    heads = lists.groupBy("list").agg(F.min(wide).alias("head"))
+    led = lists.join(heads, "list").where(F.col("doc_id") != F.col("head.doc_id"))
+    led = led.where(may_link(F.col("n"), F.col("room"), F.col("head.n"), F.col("head.room")))
+    stars = led.select(F.col("head.doc_id").alias("leader"), "doc_id").distinct()
     weight = stars.groupBy("leader").agg(F.count("*").alias("w"))
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("w") / 512)).cast("int")
     stars = tmp.table("stars", stars.join(weight, "leader").select("leader", "doc_id", salt.alias("salt")))
@@ -299,7 +318,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = components(first, tmp, "groups")
 
     # lists that still lie in several groups: each document against the chunks of the other groups there
-    member = lists.where("k > 2").join(groups, lists["doc_id"] == groups["node"], "left").select("list", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    member = lists.where("k > 2").join(groups, lists["doc_id"] == groups["node"], "left").select("list", "doc_id", "n", "room", F.coalesce("root", "doc_id").alias("root"))
     split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     open_ = tmp.table("open", member.join(split, "list"))
     inside = Window.partitionBy("root").orderBy("doc_id")
@@ -307,13 +326,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     chunks = tmp.table("chunks", numbered)
     in_list = open_.join(chunks.select("doc_id", "part"), "doc_id")
     sizes = chunks.groupBy("root").agg(F.count("*").alias("w"))
-    here = in_list.groupBy("list", "root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).join(sizes, "root")
+    here = in_list.groupBy("list", "root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room")).join(sizes, "root")
     # of two groups the smaller asks the larger, whose chunks are few beside its members
     asks = (F.col("q.w") < F.col("g.w")) | ((F.col("q.w") == F.col("g.w")) & (F.col("q.root") > F.col("g.root")))
-    t, u = THRESHOLD
     ask = (
         open_.join(sizes, "root").alias("q").join(here.alias("g"), F.col("q.list") == F.col("g.list"))
-        .where(asks & (F.col("q.n") * u >= F.col("g.lo") * t) & (F.col("g.hi") * u >= F.col("q.n") * t))
+        .where(asks & (F.col("g.hi") * u >= F.col("q.n") * t) & may_link(F.col("q.n"), F.col("q.room"), F.col("g.lo"), F.col("g.room")))
         .select("g.root", "g.part", "q.doc_id").distinct()
     )
     place = F.struct("root", "part").alias("chunk")
