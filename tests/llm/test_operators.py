@@ -146,6 +146,32 @@ def test_jaccard_chains(spark):
     assert got == root
 
 
+def test_jaccard_common_passage(spark):
+    """A passage that many documents share, as every share of them: only the sets that reach the threshold link."""
+    rng, rows = np.random.default_rng(7), []
+    passage = [f"p{k}" for k in range(50)]
+    for i in range(150):
+        own = [f"d{i}w{k}" for k in range(int(rng.integers(0, 30)))]
+        cut = int(rng.integers(0, len(own) + 1))
+        rows.append((i, " ".join([*own[:cut], *passage[int(rng.integers(0, 4)) :], *own[cut:]])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            root[a] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root and 1 < len(set(root.values())) < 150
+
+
+def test_sql(spark, sf):
+    from oracle_check import mismatches
+
+    from tessera.llm.queries import ORACLE_SQL, QUERIES
+
+    assert mismatches(spark, QUERIES, ORACLE_SQL, sf) == {}
+
+
 def test_lattice(docs, none):
     grid = lattice_lm.lattice(lattice_lm.default_vocabulary())
     words = ["the", "éa", "a", "thntblere", "梦x"]
