@@ -230,16 +230,15 @@ def _open(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
     """Links between the queries and the members of one chunk."""
     out: list[tuple[int, int]] = []
     if members.num_rows and queries.num_rows:
-        own = members.column("doc_id").to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("shingles")]
+        own, sets = zip(*_sets_of(members))
+        own = np.array(own, np.int64)
         size = np.array([len(s) for s in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         union, ends = flat[first], np.append(first, len(flat))
-        for q, raw in zip(queries.column("doc_id").to_pylist(), queries.column("shingles")):
-            s = np.frombuffer(raw.as_py(), np.uint64)
+        for q, s in _sets_of(queries):
             at = np.searchsorted(union, s)
             hit = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
             if len(hit) * THRESHOLD[1] < len(s) * THRESHOLD[0]:
@@ -251,26 +250,23 @@ def _open(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _wanted_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles`` of the wanted documents, made from their texts again."""
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _sets_of(side: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in side.select(["doc_id", "text"]).to_batches():
+        yield from _sets(batch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = list(_sets(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "shingles"])
 
-    return texts.mapInArrow(run, "doc_id long, shingles binary")
+def _verify(members: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links found by opening chunks: both sides have ``chunk, doc_id``.
 
+    Texts travel, as they compress and their shingles' hashes don't; the sides
+    grow with the input, so they are never broadcast.
+    """
 
-def _verify(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links found by opening chunks: both sides have ``chunk, doc_id``."""
-
-    def with_sets(side: DataFrame) -> DataFrame:
-        named = [F.col(c).alias(c) for c in ("chunk", "doc_id", "shingles")]  # names of its own for each side
-        return side.join(sets, "doc_id").select(*named)
+    def with_texts(side: DataFrame) -> DataFrame:
+        named = [F.col(c).alias(c) for c in ("chunk", "doc_id", "text")]  # names of its own for each side
+        return side.hint("merge").join(wanted, "doc_id").select(*named)
 
-    left, right = with_sets(members).groupBy("chunk"), with_sets(queries).groupBy("chunk")
+    left, right = with_texts(members).groupBy("chunk"), with_texts(queries).groupBy("chunk")
     return left.cogroup(right).applyInArrow(_open, "a long, b long")
 
 
@@ -307,13 +303,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("w") / 512)).cast("int")
     stars = tmp.table("stars", stars.join(weight, "leader").select("leader", "doc_id", salt.alias("salt")))
     many = lists.where("k > 2").select("doc_id")
-    wanted = stars.select(F.col("leader").alias("doc_id")).union(stars.select("doc_id")).union(many).distinct()
-    sets = tmp.table("sets", _wanted_sets(wanted, texts))
+    asked_for = stars.select(F.col("leader").alias("doc_id")).union(stars.select("doc_id")).union(many).distinct()
+    wanted = tmp.table("wanted", texts.join(asked_for.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     chunk = F.struct("leader", "salt").alias("chunk")
     first = tmp.table(
         "links-1",
-        _verify(stars.select(chunk, F.col("leader").alias("doc_id")).distinct(), stars.select(chunk, "doc_id"), sets).union(same),
+        _verify(stars.select(chunk, F.col("leader").alias("doc_id")).distinct(), stars.select(chunk, "doc_id"), wanted).union(same),
     )
     groups = components(first, tmp, "groups")
 
@@ -337,7 +333,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     place = F.struct("root", "part").alias("chunk")
     asked = tmp.table("asked", ask.select(place, "doc_id"))
     opened = chunks.select(place, "doc_id").join(asked.select("chunk").distinct(), "chunk")
-    second = _verify(opened, asked, sets)
+    second = _verify(opened, asked, wanted)
     roots = components(tmp.table("links-2", first.union(second)), tmp, "roots")
     ids = profile.alias("p").join(roots.alias("r"), F.col("p.doc_id") == F.col("r.node"), "left")
     return ids.select("p.doc_id", F.col("p.n").alias("n_shingles"), F.coalesce("r.root", "p.doc_id").alias("component_id"))
