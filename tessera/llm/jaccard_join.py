@@ -29,6 +29,9 @@ Defined results
 * null or empty text, or no words: no shingles, ``component_id`` its own id
 * fewer than five words: the whole sequence is the one shingle
 * repeated rows: rows of one id count as one document, each row is returned
+* a null id: a stand-in from the text's hash, 2**62 or more, so null ids of
+  unlike texts are documents of their own; ``doc_id`` stays null, and
+  ``component_id`` is a stand-in only if no smaller id is in the group
 * very long texts: the set of one row is held while it is shingled
 * empty table: no rows; extra columns are ignored
 * shingles are compared by 64-bit hashes
@@ -56,6 +59,8 @@ _SKETCH_PARTS = 64
 #: Most documents of a chunk that is opened at once, and prefix shingles a bucket holds about.
 CHUNK = 64
 BUCKET_SHINGLES = 1_000_000
+#: Least stand-in for a null id.
+_NO_ID = 1 << 62
 
 _MULT = bytewise.splitmix(SHINGLE, 77) | np.uint64(1)
 
@@ -98,26 +103,32 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
-_PROFILE = "part int, doc_id long, n long, d1 long, d2 long, counts binary"
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The id, or where it is null a stand-in that is the same for equal texts."""
+    of_text = F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    return F.coalesce(doc_id.cast("long"), of_text)
+
+
+_PROFILE = "part int, doc_id long, no_id boolean, n long, d1 long, d2 long, counts binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the task's counts of shingle buckets in compressed parts."""
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["part", "doc_id", "n", "d1", "d2", "counts"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["part", "doc_id", "no_id", "n", "d1", "d2", "counts"]
+    types = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     shift = np.uint64(64 - SKETCH_BITS)
     for batch in batches:
         rows: list[tuple] = []
         seen: list[np.ndarray] = []
-        for doc_id, s in _sets(batch):
-            rows.append((-1, doc_id, len(s), *_digest(s), None))
+        for (doc_id, s), no_id in zip(_sets(batch), batch.column(2).to_pylist()):
+            rows.append((-1, doc_id, no_id, len(s), *_digest(s), None))
             seen.append((s >> shift).astype(np.int32))
         if seen:
             sketch += np.bincount(np.concatenate(seen), minlength=len(sketch)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
     if sketch.any():
-        parts = [(i, None, None, None, None, zlib.compress(p.astype("<u4").tobytes(), 1)) for i, p in enumerate(np.split(sketch, _SKETCH_PARTS))]
+        parts = [(i, None, None, None, None, None, zlib.compress(p.astype("<u4").tobytes(), 1)) for i, p in enumerate(np.split(sketch, _SKETCH_PARTS))]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*parts), types)], names=names)
 
 
@@ -272,11 +283,18 @@ def _verify(members: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFr
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+    doc_id = F.when(~F.col("no_id"), F.col("key")).alias("doc_id")
+    return _keyed_groups(docs).select(doc_id, "n_shingles", "component_id")
+
+
+def _keyed_groups(docs: DataFrame) -> DataFrame:
+    """``key, no_id, n_shingles, component_id``: null ids by their stand-ins."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = document_key(F.col("doc_id"), F.col("text")).alias("doc_id")
+    texts = docs.select(key, F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").isNull().alias("no_id"))
     found = tmp.table("profile", texts.mapInArrow(_profile, _PROFILE))
-    profile = found.where("part < 0").select("doc_id", "n", "d1", "d2")
+    profile = found.where("part < 0").select("doc_id", "no_id", "n", "d1", "d2")
     merged = found.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
     parts = {r["part"]: np.frombuffer(r["counts"], "<u8") for r in merged.collect()}  # of fixed size
     sketch = np.concatenate([parts[i] for i in range(_SKETCH_PARTS)]) if parts else np.zeros(1 << SKETCH_BITS, np.uint64)
@@ -284,7 +302,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // (3 * BUCKET_SHINGLES)))
     order = spark.sparkContext.broadcast(sketch.astype(np.uint32 if sketch.max(initial=0) < 2**32 else np.uint64))
 
-    postings = texts.where("text is not null").mapInArrow(
+    postings = texts.where("text is not null").select("doc_id", "text").mapInArrow(
         lambda it: _postings(it, order.value, buckets), "bucket int, shingles binary, rooms binary, docs binary, sizes binary"
     )
     by_bucket = postings.groupBy("bucket").applyInArrow(_lists, _LISTS)
@@ -304,7 +322,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     stars = tmp.table("stars", stars.join(weight, "leader").select("leader", "doc_id", salt.alias("salt")))
     many = lists.where("k > 2").select("doc_id")
     asked_for = stars.select(F.col("leader").alias("doc_id")).union(stars.select("doc_id")).union(many).distinct()
-    wanted = tmp.table("wanted", texts.join(asked_for.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = tmp.table("wanted", texts.select("doc_id", "text").join(asked_for.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     chunk = F.struct("leader", "salt").alias("chunk")
     first = tmp.table(
@@ -336,11 +354,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     second = _verify(opened, asked, wanted)
     roots = components(tmp.table("links-2", first.union(second)), tmp, "roots")
     ids = profile.alias("p").join(roots.alias("r"), F.col("p.doc_id") == F.col("r.node"), "left")
-    return ids.select("p.doc_id", F.col("p.n").alias("n_shingles"), F.coalesce("r.root", "p.doc_id").alias("component_id"))
+    return ids.select(F.col("p.doc_id").alias("key"), "p.no_id", F.col("p.n").alias("n_shingles"), F.coalesce("r.root", "p.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents less those that have a smaller id in their group; all columns stay."""
-    groups = similar_groups(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    groups = _keyed_groups(docs.select("doc_id", "text"))
+    gone = groups.where("component_id <> key").select(F.col("key").alias("gone")).distinct()
+    return docs.join(gone, document_key(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")

@@ -32,11 +32,19 @@ MOST = 3
 
 @dataclass(frozen=True)
 class Mix:
-    """``documents`` has a row per document, ``draws`` a row per seat with its shard and block."""
+    """``documents`` has a row per document, ``draws`` a row per seat with its shard and block.
+
+    ``keyed`` is ``documents`` with the hash of seed, id and text, by which rows with a null id are told apart.
+    """
 
     documents: DataFrame
     draws: DataFrame
     block: int
+    keyed: DataFrame
+
+
+def _row_key(seed: int, doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))
 
 
 def _source_key(name: str = "source") -> tuple[Column, Column]:
@@ -107,7 +115,7 @@ def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 6
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.size(native.words(F.col("text"))).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("key"),
+            _row_key(seed, F.col("doc_id"), F.col("text")).alias("key"),
         ).withColumn("slice", F.pmod("key", F.lit(slices)).cast("int")),
     )
     goals = tmp.table("targets", targets(sized, weights, most))
@@ -126,8 +134,8 @@ def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 6
     )
     known = placed.alias("d").join(goals.alias("g"), same("d", "g")).select("d.*", "g.source_size", "g.target")
     if won is None:
-        out = known.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-        return Mix(out, goals.select("source", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seat")).limit(0), block)
+        out = known.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "key")
+        return Mix(out.drop("key"), goals.select("source", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seat")).limit(0), block, out)
 
     draws = (
         won.alias("w").join(goals.alias("g"), same("w", "g"))
@@ -145,9 +153,9 @@ def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 6
     )
     on = [F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("k.at") == F.col("t.at"), *same("k", "t"), F.col("k.size") > 0]
     out = known.alias("k").join(got.alias("t"), on, "left").select(
-        "k.doc_id", "k.size", "k.source_size", "k.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken")
+        "k.doc_id", "k.size", "k.source_size", "k.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"), "k.key"
     )
-    return Mix(out, draws, block)
+    return Mix(out.drop("key"), draws, block, out)
 
 
 def _drawn(seat: Column, n: Column, salt: Column) -> Column:
@@ -163,7 +171,7 @@ def _drawn(seat: Column, n: Column, salt: Column) -> Column:
     return F.pmod(F.pmod(seat, n) * step + F.pmod(salt, n), n).cast("long")
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The documents that the mix takes, all columns as they are, a row for each taking.
 
     A document of which ``taken`` words are wanted comes taken / size times,
@@ -171,9 +179,11 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     cut two documents at most, so a source's words stay within a block or two of
     what its seats take. Rows of one id and text are taken alike.
     """
-    chosen = mix(docs.select("doc_id", "source", "text"), **options).documents
-    times = chosen.where("taken > 0").groupBy("doc_id").agg(F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias("times"))
+    chosen = mix(docs.select("doc_id", "source", "text"), seed, **options).keyed
+    wanted = F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int")
+    times = chosen.where("taken > 0").groupBy("doc_id", "key").agg(wanted.alias("times"))
     n = native.fresh(docs, "times")
-    joined = docs.join(times.select(F.col("doc_id").alias("taken_id"), F.col("times").alias(n)), F.col("doc_id") == F.col("taken_id"))
-    copies = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(n))))
+    picked = times.select(F.col("doc_id").alias("taken_id"), F.col("key").alias("taken_key"), F.col("times").alias(n))
+    same = [docs["doc_id"].eqNullSafe(picked["taken_id"]), _row_key(seed, docs["doc_id"], docs["text"]) == picked["taken_key"]]
+    copies = docs.join(picked, same).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), picked[n])))
     return copies.select(*docs.columns)

@@ -127,6 +127,33 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.similar_groups(none).count() == 0
 
 
+def test_null_ids(spark):
+    """Rows without an id are documents by their texts: in groups, and through every stage of the pipeline."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    near, other = [f"{word()} the" for _ in range(60)], " ".join(f"{word()} and" for _ in range(60)) + "."
+    near = " ".join(near) + "."
+    rows = [(1, near, "a"), (None, near + " tail", "a"), (None, other, "a"), (None, other, "a"), (None, None, "b"), (None, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = jaccard_join.similar_groups(docs).collect()
+    assert sorted((r.doc_id is None, r.component_id == 1, r.n_shingles > 0) for r in got) == sorted([(False, True, True), (True, True, True), *[(True, False, True)] * 2, *[(True, False, False)] * 2])
+    assert len({r.component_id for r in got if r.component_id != 1 and r.n_shingles}) == 1
+    kept = jaccard_join.one_of_each(docs)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, near), (0, other), (0, other), (0, ""), (0, "")])
+    taken = collections.Counter((r.doc_id, r.text) for r in mixing.repeat_documents(docs).collect())
+    want = collections.Counter()
+    for r in mixing.mix(docs).documents.collect():
+        want[r.doc_id is None] += r.taken
+    assert taken[None, other] and set(taken) <= {(1, near), (None, near + " tail"), (None, other)}
+    assert abs(sum(n * len(t.split()) for (i, t), n in taken.items()) - sum(want.values())) <= 240
+    out = docs
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, "")
+    assert {r.doc_id for r in out.collect()} == {1, None}
+
+
 def test_jaccard_chains(spark):
     """Links that only chains of near copies give, with lists in several groups."""
     rng, rows = np.random.default_rng(5), []
