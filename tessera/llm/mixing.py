@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (operator 7, DataFrame only).
 
 The words of each source, its documents in a seeded order, are a stream that is
-cut into blocks of equal size. Seats (one block each) go to the highest
-quotients target / (2 k + 1) over all sources; the first seats make the first
-shard, and so on, so every shard has integer quotas. The k-th seat of a source
-then draws its k-th block in a seeded permutation, starting again after the last.
+cut into blocks of equal size, about that of all sources but at most a
+``FINEST``-th of the source's target. Seats (one block each) go to the highest
+quotients blocks wanted / (2 k + 1) over all sources, as many as sources want
+blocks, rounded; the first seats make the first shard, and so on, so every shard
+has integer quotas. The k-th seat of a source then draws its k-th block in a
+seeded permutation, starting again after the last: what a source's seats take is
+within half a block (and a word for each seat's rounding) of its target.
 
 Defined results
 * null or empty text: size 0, nothing taken
@@ -28,6 +31,8 @@ from .scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Blocks that a source's target, or all its words if they are fewer, has at least (blocks of a word at least).
+FINEST = 64
 
 
 @dataclass(frozen=True)
@@ -78,19 +83,25 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return chosen.select("source", "source_size", target.alias("target"))
 
 
+def cut(goals: DataFrame, block: int) -> DataFrame:
+    """``goals`` with ``n``, a source's number of equal blocks, and ``want``, the blocks that make its target."""
+    least = F.least(F.col("source_size").cast("double"), F.col("target"))
+    own = F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(least / FINEST)))
+    n = F.ceil(F.col("source_size") / own).cast("long")
+    want = F.when(F.col("source_size") > 0, F.col("target") * n / F.col("source_size")).otherwise(0.0)
+    return goals.select("*", n.alias("n"), want.alias("want"))
+
+
 def seats(goals: DataFrame, n_seats: int, shards: int) -> DataFrame:
-    """``source, seat, shard``: who has each of the seats, by the highest quotients.
+    """``source, seat, shard``: who has each of the seats, by the highest quotients of ``want``.
 
     A quotient's rank over all sources is its rank inside a narrow band of
     quotients plus all seats of the bands before, so no task sorts every seat.
     """
-    share = F.col("target") / F.sum("target").over(Window.partitionBy()) * n_seats
-    # a source's seats exceed its exact share by less than half a seat for each source
-    room = F.ceil(share * 1.01) + 2
+    # with as many seats as the rounded wants, none of higher number than a source's rounded want is had
     offers = (
-        goals.where("target > 0").select("source", share.alias("share"), room.cast("int").alias("room"))
-        .select("source", "share", F.explode(F.sequence(F.lit(0), F.col("room"))).alias("seat"))
-        .withColumn("quotient", F.col("share") / (2 * F.col("seat") + 1))
+        goals.where("want > 0").select("source", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("want"))).alias("seat"))
+        .withColumn("quotient", F.col("want") / (2 * F.col("seat") + 1))
         .withColumn("band", F.floor(-F.log(F.col("quotient")) * 256))
     )
     bands = offers.groupBy("band").agg(F.count("*").alias("n"))
@@ -104,8 +115,8 @@ def seats(goals: DataFrame, n_seats: int, shards: int) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 64, slices: int = 4096, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> Mix:
     """Decide how many words of each document the mix takes.
 
-    ``n_blocks`` is the number of equal blocks in the mix; their size follows
-    the corpus. All tables but the sized documents have a row per source, slice
+    ``n_blocks`` is about the number of blocks in the mix; their size follows
+    the corpus, and is less for sources of which few would be wanted. All tables but the sized documents have a row per source, slice
     or block. One pass reads the texts, and its sizes are kept on shared disk.
     """
     tmp = Scratch(docs.sparkSession, "mix")
@@ -121,7 +132,9 @@ def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 6
     goals = tmp.table("targets", targets(sized, weights, most))
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, -(-total // n_blocks))
-    won = tmp.table("seats", seats(goals, -(-total // block), shards)) if total else None
+    goals = cut(goals, block)
+    n_seats = goals.agg(F.sum(F.floor(F.col("want") + 0.5))).first()[0] or 0
+    won = tmp.table("seats", seats(goals, n_seats, shards)) if n_seats else None
 
     by_slice = sized.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     slice_at = by_slice.select("source", "slice", (F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).alias("slice_at"))
@@ -132,20 +145,22 @@ def mix(docs: DataFrame, seed: int = 7, n_blocks: int = 100_000, shards: int = 6
         placed.alias("d").join(slice_at.alias("s"), same("d", "s", "slice"))
         .select("d.doc_id", "d.source", "d.size", "d.key", (F.col("s.slice_at") + F.col("d.at_in_slice")).alias("at"))
     )
-    known = placed.alias("d").join(goals.alias("g"), same("d", "g")).select("d.*", "g.source_size", "g.target")
+    known = placed.alias("d").join(goals.alias("g"), same("d", "g")).select("d.*", "g.source_size", "g.target", "g.n")
     if won is None:
         out = known.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "key")
         return Mix(out.drop("key"), goals.select("source", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seat")).limit(0), block, out)
 
     draws = (
         won.alias("w").join(goals.alias("g"), same("w", "g"))
-        .select("w.source", "w.seat", "w.shard", F.ceil(F.col("g.source_size") / block).alias("n"))
+        .select("w.source", "w.seat", "w.shard", "g.n")
         .select("source", "shard", _drawn(F.col("seat"), F.col("n"), F.xxhash64(F.lit(seed), "source")).alias("block"), "seat")
     )
     times = draws.groupBy("source", "block").agg(F.count("*").alias("times"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    parts = known.where("size > 0").select("doc_id", "key", "source", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("p.at") + F.col("p.size"), (F.col("p.block") + 1) * block) - F.greatest(F.col("p.at"), F.col("p.block") * block)
+    # block b of n holds the words from ceil(b * source_size / n) on
+    first, last = F.expr("at * n div source_size"), F.expr("(at + size - 1) * n div source_size")
+    parts = known.where("size > 0").select("doc_id", "key", "source", "at", "size", "n", "source_size", F.explode(F.sequence(first, last)).alias("block"))
+    begin, end = F.expr("(p.block * p.source_size + p.n - 1) div p.n"), F.expr("((p.block + 1) * p.source_size + p.n - 1) div p.n")
+    overlap = F.least(F.col("p.at") + F.col("p.size"), end) - F.greatest(F.col("p.at"), begin)
     got = (
         parts.alias("p").join(times.alias("t"), same("p", "t", "block"))
         .select("p.source", "p.at", "p.doc_id", (overlap * F.col("t.times")).alias("words"))

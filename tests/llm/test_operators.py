@@ -270,6 +270,22 @@ def test_mixing(docs, none):
     assert mixing.mix(none).documents.count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources of less than a block come near their targets, and into the mixed corpus, whatever the block."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1000)), "big") for i in range(300)]
+    rows += [(1000 + i, "a b c d e", s) for s, n in (("bit", 1), ("few", 12), ("low", 40), ("part", 130)) for i in range(n)]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, n_blocks=100)
+    taken, goal = collections.defaultdict(int), {}
+    source = {i: s for i, _, s in rows}
+    for r in got.documents.collect():
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert got.block == 3010 and all(abs(taken[s] - goal[s]) <= (got.block if s == "big" else 0.02 * goal[s] + 1) for s in goal), (taken, goal)
+    assert {r.source for r in mixing.repeat_documents(docs, n_blocks=100).select("source").distinct().collect()} == set(goal)
+
+
 def test_pages(spark):
     page = '<html><head><title>t</title></head><body><header>Site</header><nav>m</nav><div class="cookie-notice">c</div><article><h1>A &amp; b</h1><p>One  two<br>three<p>Second <i>it</i>al.<div class="ad">Buy</div><form>go</form><section id="comments"><p>c1</p></section></article><aside>s</aside><footer>f</footer><script>"</p>"</script>'
     bare = "<body><p>Menu line</p><p>{}</p><p>Imprint</p>"
