@@ -13,8 +13,9 @@ The lexicon is a bit map over 2**24 term numbers, so what tasks need of it is
 2 MB at any corpus size; its frequencies are counted over every document.
 
 Defined results
-* null or empty text and texts without a lexicon term: every subset carries the
-  hash of the whole text, so equal texts agree and others differ
+* null or empty text and texts without a lexicon term, or with terms that lie in
+  no subset: every subset carries the hash of the whole text, so equal texts
+  agree and others differ
 * the next document goes by (doc_id, hash of text); after the last comes the
   first, with one document it is itself; repeated rows are documents of their own
 * null ids come first; empty table: no rows; extra columns are ignored
@@ -63,7 +64,7 @@ def lexicon(docs: DataFrame, band: Band = Band()) -> DataFrame:
 
 
 def fingerprint(text: Column, bits: Column) -> Column:
-    """An array of SUBSETS hashes; 0 where a subset holds no term."""
+    """An array of SUBSETS hashes; 0 where a subset holds no term but another does."""
 
     def hashes(terms: Column) -> Column:
         mixed = F.sort_array(F.transform(terms, lambda n: F.xxhash64(n)))
@@ -81,7 +82,7 @@ def fingerprint(text: Column, bits: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     kept = F.filter(_numbers(whole), lambda n: F.get(bits, F.shiftright(n, 6)).bitwiseAND(_bit(n)) != 0)
     by_text = F.array(*[F.xxhash64(F.lit(-1 - i), whole) for i in range(SUBSETS)])
-    return native.let(kept, lambda t: F.when(F.size(t) == 0, by_text).otherwise(hashes(t)))
+    return native.let(native.let(kept, hashes), lambda h: F.when(F.exists(h, lambda x: x != 0), h).otherwise(by_text))
 
 
 def _bit(n: Column) -> Column:

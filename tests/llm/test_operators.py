@@ -232,6 +232,12 @@ def test_fingerprints(docs, none):
         assert rows[i].n_chars == len(texts[i]) and 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
     assert rows[1].fingerprint == rows[2].fingerprint and rows[1].near_next == 1.0
     assert rows[1].fingerprint != rows[9].fingerprint
+    # words that are in the lexicon but in no subset of it: equal texts are alike, others are not
+    few = [f"w{k}" for k in range(30)]
+    short = none.sparkSession.createDataFrame([(2 * k + c, w) for k, w in enumerate(few) for c in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.edit_report(short, fingerprints.Band(1, 1.0)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == len(few)
+    assert all(got[2 * k].fingerprint == got[2 * k + 1].fingerprint and got[2 * k].near_next == 1.0 for k in range(len(few)))
     assert fingerprints.edit_report(none).count() == 0
 
 
