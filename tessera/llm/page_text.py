@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL differencing (operator 2).
 
 Pages of a host lie in the order of their URL paths; a page's template is what
-it shares with the page next to it. The text lines of both are aligned by a
+it shares with the nearest page of another text. The text lines of both are aligned by a
 longest common subsequence, and shared lines are deleted. As two pages may also
 share what is not template, an exact check follows: lines of a page that marks
 its article (``article`` or ``main``) stand or fall by where they are, inside
@@ -10,16 +10,22 @@ element, role, class or id), and only lines of unmarked places by the difference
 
 Defined results
 * null or empty html: empty text
-* a page alone on its host: no difference, structure alone decides
+* a page alone on its host, or with copies only: no difference, structure alone
+  decides: lines of unmarked places stay if no article is marked
+* copies (repeated rows, one article under several URLs) have the same lines but
+  for furniture; they are not held against each other
+* a page of which the difference would leave nothing is held against the page on
+  its other side; if that too leaves nothing, structure alone decides
 * ties in URL go by page id; equal URLs are neighbours; repeated rows are pages
 * null url: such pages have no neighbours
-* very long pages: three pages are held at a time
+* very long pages: three pages are held at a time, and ids and URLs of copies
 * empty table: no rows; extra columns are ignored
 * broken markup: an element ends with its container; the end of the page ends all
-* the neighbour is looked for among the rows of one sorted partition; only the
-  page at its edge may have its nearer neighbour in the next one
 
-A hot host is spread over many partitions, as ranges of paths are dealt out.
+Ranges of keys are dealt out, so a hot host is spread over many tasks. Each range
+is sent the nearest rows on both sides of it as guests, ``GUESTS`` of other html,
+from as many ranges away as that takes; so where ranges end decides nothing,
+unless more than ``GUESTS`` copies that differ in html lie there.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from __future__ import annotations
 import bisect
 import html as _html
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the HTML standard and of common page furniture.
@@ -49,6 +56,10 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?
 _SPLIT = re.compile(r"[\s_-]+")
 _SPACE = re.compile(r"\s+")
 
+#: Rows of other html that a range is sent from each side, and sampled keys for each range.
+GUESTS = 3
+SAMPLED = 8
+
 #: Where a line stands.
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
 
@@ -159,7 +170,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """Lines that are not shared with the neighbour, after the exact check by place."""
     marked = any(p == ARTICLE for _, p in lines)
-    shared = shared_lines([t for t, _ in lines], [t for t, _ in neighbour]) if neighbour else ()
+    shared = shared_lines([t for t, _ in lines], [t for t, _ in neighbour]) if neighbour is not None else ()
     kept = [
         t for i, (t, p) in enumerate(lines)
         if p == ARTICLE or (p == OPEN and not marked and i not in shared)
@@ -176,35 +187,126 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (host, path, page_id); each is held against the nearer of the rows beside it."""
-    before = now = None  # (row, lines)
+class _Run:
+    """Adjacent copies: the lines of the first, and the path and row of each."""
+
+    def __init__(self, group: tuple, lines: list[tuple[str, int]]):
+        self.group, self.lines, self.members = group, lines, []
+        self.text = [x for x in lines if x[1] != FURNITURE]
+
+    def texts(self, before: _Run | None, after: _Run | None) -> Iterator[tuple]:
+        """``page_id, url, text`` of each copy that is no guest; the nearer of the runs beside it is its neighbour."""
+        beside = [x for x in (before, after) if x and x.group == self.group and x.group[1] is not None]
+        held: dict[int, str] = {}
+        for path, page_id, url, guest in self.members:
+            if guest:
+                continue
+            # of the run before, the last copy is nearest
+            order = sorted(beside, key=lambda x: -_nearness(x.members[-1 if x is before else 0][0], path))
+            text = ""
+            for x in [*order, None]:
+                if id(x) not in held:
+                    held[id(x)] = main_text(self.lines, x.lines if x else None)
+                if text := held[id(x)]:
+                    break
+            yield page_id, url, text
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
-        yield None
 
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (range, host, path, id); each run of copies is held against the runs beside it."""
+    before = now = None
     done: list[tuple] = []
-    for row in rows():
-        after = (row, lines_of(row[4] or "")) if row else None
-        if now:
-            beside = [x for x in (before, after) if x and x[0][0] is not None and x[0][0] == now[0][0]]
-            near = max(beside, key=lambda x: _nearness(x[0][1], now[0][1]))[1] if beside else None
-            done.append((now[0][2], now[0][3], main_text(now[1], near)))
-        before, now = now, after
-        if len(done) >= 500 or row is None:
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
-            done = []
-
-
-def main_texts(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page."""
+
+    def out() -> pa.RecordBatch:
+        types = (pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=["page_id", "url", "text"])
+
+    for batch in batches:
+        for to, host, path, page_id, url, html, guest in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            after = _Run((to, host), lines_of(html or ""))
+            after.members.append((path, page_id, url, guest))
+            if now is None or after.group != now.group or after.text != now.text:
+                if now:
+                    done += now.texts(before, after)
+                before, now = now, after
+            else:
+                now.members += after.members
+            if len(done) >= 500:
+                yield out()
+                done = []
+    if now:
+        done += now.texts(before, None)
+    yield out()
+
+
+def _placed(pages: DataFrame, rows: int) -> DataFrame:
+    """The keyed pages with their ``range``, about ``rows`` pages each: only sampled keys, a few for each range, are gathered."""
     url = F.lower("url")
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?(?:www\.|m\.)?([^/:?#]*)", 1)
     path = F.regexp_replace(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*|[?#].*$", "")
-    keyed = pages.select(host.alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    order = ["host", "path", "page_id"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    page_id = F.col("page_id").cast("long")
+    keyed = pages.select(
+        host.alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(page_id, F.lit(-(1 << 63))).alias("id"),
+        page_id.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
+    )
+    share = min(1.0, SAMPLED / rows)
+    keys = keyed.select("host", "path", "id").sample(share, seed=2).collect()
+    keys = sorted((r.host is not None, r.host or "", r.path, r.id) for r in keys)
+    step = max(1, round(rows * share))
+    bounds = sorted(set(keys[step::step]))
+
+    @F.pandas_udf("int")
+    def range_of(has, host, path, id_):
+        import pandas as pd
+
+        return pd.Series([bisect.bisect_right(bounds, k) for k in zip(has.tolist(), host.tolist(), path.tolist(), id_.tolist())], dtype="int32")
+
+    return keyed.withColumn("range", range_of(F.col("host").isNotNull(), F.coalesce("host", F.lit("")), "path", "id"))
+
+
+def _edges(placed: DataFrame) -> list:
+    """Keys and hashes of the outermost ``GUESTS`` rows of other html at both ends of each range."""
+    order = Window.partitionBy("range").orderBy("host", "path", "id", "h")
+    keys = placed.select("range", "host", "path", "id", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
+    flagged = keys.select(
+        "*", (~F.lag("h").over(order).eqNullSafe(F.col("h"))).alias("opens"), (~F.lead("h").over(order).eqNullSafe(F.col("h"))).alias("closes")
+    )
+    numbered = flagged.withColumn("run", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.withColumn("runs", F.max("run").over(Window.partitionBy("range")))
+    head, tail = F.col("opens") & (F.col("run") <= GUESTS), F.col("closes") & (F.col("run") > F.col("runs") - GUESTS)
+    return runs.select("range", "run", "host", "path", "id", "h", head.alias("head"), tail.alias("tail")).where("head or tail").collect()
+
+
+def _guests(edges: list) -> list[tuple]:
+    """``to, range, host, path, id, h``: for each range the nearest rows of other html on both sides."""
+    by_range: dict[int, list] = {}
+    for e in sorted(edges, key=lambda e: (e.range, e.run, e.tail)):
+        by_range.setdefault(e.range, []).append(e)
+    out = set()
+    for side, ranges in (("tail", sorted(by_range)), ("head", sorted(by_range, reverse=True))):
+        near: deque = deque(maxlen=GUESTS)
+        for k in ranges:
+            out |= {(k, e.range, e.host, e.path, e.id, e.h) for e in near}
+            own = [e for e in by_range[k] if e[side]]
+            for e in own if side == "tail" else reversed(own):
+                if near and near[-1].h == e.h:
+                    near.pop()
+                near.append(e)
+    return list(out)
+
+
+def main_texts(pages: DataFrame, rows: int = 1000) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page; ``rows`` is about the pages of a range."""
+    placed = _placed(pages, rows)
+    columns = ["to", "host", "path", "page_id", "url", "html", "guest", "id"]
+    dealt = placed.withColumn("to", F.col("range")).withColumn("guest", F.lit(False)).select(*columns)
+    if guests := _guests(_edges(placed)):
+        g = pages.sparkSession.createDataFrame(guests, "to int, range int, host string, path string, id long, h long")
+        h = F.xxhash64(F.coalesce("p.html", F.lit("")))
+        on = [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("range", "host", "path", "id")]
+        sent = placed.alias("p").join(F.broadcast(g).alias("g"), [*on, h == F.col("g.h")])  # a few rows for each range
+        sent = sent.select("g.to", *[f"p.{c}" for c in columns[1:6]], F.lit(True).alias("guest"), "p.id")
+        dealt = dealt.union(sent.dropDuplicates(["to", "host", "path", "id", "html"]))
+    dealt = dealt.repartition("to").sortWithinPartitions("to", "host", "path", "id", F.xxhash64(F.coalesce("html", F.lit(""))))
     texts = dealt.mapInArrow(_extract, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

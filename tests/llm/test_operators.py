@@ -301,6 +301,21 @@ def test_pages(spark):
     assert page_text.shared_lines(list("abcbdab"), list("bdcaba")).__len__() == 4
 
 
+def test_pages_copies_and_ranges(spark):
+    """Copies keep their text and ranges of any size give the same rows."""
+    bare = "<body><p>Menu line</p><p>{}</p><p>Imprint</p>"
+    rows = [(i, f"http://x.example/b/{i:02}", bare.format(f"Text {i}")) for i in range(9)]
+    rows += [(8, "http://x.example/b/08", rows[8][2]), (20, "http://x.example/b/04?print", rows[4][2]), (21, "http://x.example/b/04a", rows[4][2])]
+    rows += [(30, "http://y.example/1", bare.format("Y one")), (31, "http://y.example/2", bare.format("Y two"))]
+    rows += [(50 + i, f"http://c.example/{i}", bare.format("Copy")) for i in range(5)] + [(60, "http://c.example/9", bare.format("Other"))]
+    want = {**{i: f"Text {i}" for i in range(9)}, 20: "Text 4", 21: "Text 4", 30: "Y one", 31: "Y two"}
+    want |= {50 + i: "Copy" for i in range(5)} | {60: "Other"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for n in (1, 2, 1000):
+        got = page_text.main_texts(pages, rows=n).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, n
+
+
 def test_licences(spark):
     mit = dict(licences.KNOWN[:1])["MIT"]
     rows = [(1, "Copyright (c) 2024 Some One\n\n" + mit.replace("sublicense", "SUBLICENCE").replace(",", " ;")), (2, mit + " more"), (3, None), (4, "released under the MIT licence")]
