@@ -1,12 +1,13 @@
 """Main text of web pages by nearest-URL differencing (operator 2).
 
 Pages of a host lie in the order of their URL paths; a page's template is what
-it shares with the nearest page of another text. The text lines of both are aligned by a
-longest common subsequence, and shared lines are deleted. As two pages may also
-share what is not template, an exact check follows: lines of a page that marks
-its article (``article`` or ``main``) stand or fall by where they are, inside
-it or in furniture (navigation, adverts, forms, comments and the like, known by
-element, role, class or id), and only lines of unmarked places by the difference.
+it shares with the nearest page of another text. The text lines of both are
+aligned by a longest common subsequence, and shared lines are to go, the others
+to stay. As two pages may also share what is not template, an exact check by
+place overrules that: lines inside an article (``article`` or ``main``) stay and
+those in furniture (navigation, adverts, forms, comments and the like, known by
+element, role, class or id) go. Lines of unmarked places, on any page, stand or
+fall by the difference.
 
 Defined results
 * null or empty html: empty text
@@ -169,12 +170,12 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """Lines that are not shared with the neighbour, after the exact check by place."""
-    marked = any(p == ARTICLE for _, p in lines)
-    shared = shared_lines([t for t, _ in lines], [t for t, _ in neighbour]) if neighbour is not None else ()
-    kept = [
-        t for i, (t, p) in enumerate(lines)
-        if p == ARTICLE or (p == OPEN and not marked and i not in shared)
-    ]
+    if neighbour is None:
+        marked = any(p == ARTICLE for _, p in lines)
+        gone = {i for i, (_, p) in enumerate(lines) if p == OPEN and marked}
+    else:
+        gone = shared_lines([t for t, _ in lines], [t for t, _ in neighbour])
+    kept = [t for i, (t, p) in enumerate(lines) if p == ARTICLE or (p == OPEN and i not in gone)]
     return "\n".join(kept)
 
 

@@ -302,14 +302,16 @@ def test_pages(spark):
 
 
 def test_pages_copies_and_ranges(spark):
-    """Copies keep their text and ranges of any size give the same rows."""
+    """Copies keep their text, ranges of any size give the same rows, and the difference decides outside the article."""
     bare = "<body><p>Menu line</p><p>{}</p><p>Imprint</p>"
+    marked = "<body><p>Menu line</p><h1>Head {0}</h1><article><p>Menu line</p><p>Body {0}</p></article><nav>Nav {0}</nav>"
     rows = [(i, f"http://x.example/b/{i:02}", bare.format(f"Text {i}")) for i in range(9)]
     rows += [(8, "http://x.example/b/08", rows[8][2]), (20, "http://x.example/b/04?print", rows[4][2]), (21, "http://x.example/b/04a", rows[4][2])]
     rows += [(30, "http://y.example/1", bare.format("Y one")), (31, "http://y.example/2", bare.format("Y two"))]
+    rows += [(40 + i, f"http://z.example/{i}", marked.format(i)) for i in range(3)]
     rows += [(50 + i, f"http://c.example/{i}", bare.format("Copy")) for i in range(5)] + [(60, "http://c.example/9", bare.format("Other"))]
     want = {**{i: f"Text {i}" for i in range(9)}, 20: "Text 4", 21: "Text 4", 30: "Y one", 31: "Y two"}
-    want |= {50 + i: "Copy" for i in range(5)} | {60: "Other"}
+    want |= {40 + i: f"Head {i}\nMenu line\nBody {i}" for i in range(3)} | {50 + i: "Copy" for i in range(5)} | {60: "Other"}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     for n in (1, 2, 1000):
         got = page_text.main_texts(pages, rows=n).collect()
