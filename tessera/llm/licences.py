@@ -3,7 +3,8 @@
 A text is brought to a canonical form: lower case, no copyright lines, no
 punctuation, one spelling for equivalent ones. Its digest is joined by hash to
 the digests of known licences, which go through the same expressions. The whole
-text has to be the licence; a licence inside a longer text is not one.
+text has to be the licence; a licence inside a longer text is not one. Known
+texts count with and without their usual titles and closing instructions.
 
 Defined results
 * null or empty text, or nothing left of it: no licence
@@ -12,12 +13,16 @@ Defined results
 * very long texts: one row at a time, in time by its length
 * empty table: no rows; extra columns are ignored
 
-The known side has a row per licence, so its broadcast is bounded by the table
+The known side has some rows per licence, so its broadcast is bounded by the table
 below (or by what the caller gives).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +64,7 @@ _BSD_TAIL = (
     "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 #: Published licence texts and the notices that stand for one, by SPDX identifier.
-KNOWN: tuple[tuple[str, str], ...] = (
+_SHORT: tuple[tuple[str, str], ...] = (
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _AS_IS_SHORT),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _AS_IS_SHORT),
@@ -70,6 +75,51 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: Titles that the short texts go by, besides none.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "Zero Clause BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+}
+#: The published long texts, a file for each SPDX identifier, and how many lines of title each has.
+_FOLDER = Path(__file__).parent / "licence_texts"
+_TITLE_LINES = {"Apache-2.0": 3, "MPL-1.1": 3, "Artistic-1.0-Perl": 1, "BSD-3-Clause": 0, "Unlicense": 0}
+_END = re.compile(r"^[ ]*END OF TERMS AND CONDITIONS[ ]*$", re.M)
+_CLOSING = re.compile(r"^[ ]*(?:ADDENDUM: How to|EXHIBIT A -|Exhibit A - )", re.M)
+
+
+def _variants() -> Iterator[tuple[str, str]]:
+    """Texts with each usual title and with none; long ones also without what follows their terms."""
+    yield from _SHORT
+    for name, text in _SHORT[:5]:
+        body = text.split("\n\n", 1)[-1]
+        for title in ("", *_TITLES[name]):
+            yield name, f"{title}\n\n{body}"
+            if name.startswith("BSD"):
+                yield name, f"{title}\n\nAll rights reserved.\n\n{body}"
+    for path in sorted(_FOLDER.glob("*.txt")):
+        name, whole = path.stem, path.read_text()
+        lines = whole.strip().split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        untitled = "\n".join(lines[full[_TITLE_LINES.get(name, 2)] :])
+        if name == "Unlicense":
+            untitled = f"The Unlicense\n\n{whole}"
+        for text in (whole, untitled):
+            yield name, text
+            if end := _END.search(text):
+                yield from ((name, text[: end.start()]), (name, text[: end.end()]))
+            if closing := _CLOSING.search(text):
+                yield name, text[: closing.start()]
+            if name == "Apache-2.0":  # the line goes with the copyright lines once it is filled in
+                yield name, text.replace("Copyright [yyyy] [name of copyright owner]", "")
+
+
+#: Texts of http and https addresses are told apart by their words, so both are known.
+KNOWN: tuple[tuple[str, str], ...] = tuple(
+    dict.fromkeys((n, x) for name, text in _variants() for n, x in ((name, text), (name, text.replace("https://", "http://")), (name, re.sub("http://", "https://", text))))
+)
 
 
 def canonical(text: Column) -> Column:

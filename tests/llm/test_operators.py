@@ -325,6 +325,24 @@ def test_licences(spark):
     assert got == {1: "MIT", 2: None, 3: None, 4: "MIT"}
 
 
+def test_whole_licences(spark):
+    """Published texts, long and short, with and without titles."""
+    texts = {x.stem: x.read_text() for x in licences._FOLDER.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(texts)
+    mit, isc, bsd = (next(x for n, x in licences._SHORT if n == name) for name in ("MIT", "ISC", "BSD-3-Clause"))
+    body = mit.split("\n\n", 1)[1]
+    apache = texts["Apache-2.0"]
+    cases = [*texts.items(), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + body), ("MIT", body), ("ISC", "Copyright 2020 A\n\n" + isc.split("\n\n", 1)[1])]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd)]
+    cases += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 A B")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache.replace("http://", "https://"))]
+    cases += [("GPL-3.0-only", texts["GPL-3.0-only"].split("How to Apply These")[0]), (None, apache[:5000]), (None, apache + " more")]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)]
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(cases)}
+    known = licences.known_digests(spark).distinct()
+    assert known.count() == known.select("digest").distinct().count()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
