@@ -19,6 +19,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,13 +101,35 @@ def format_chats(turns: DataFrame) -> DataFrame:
         "conv_id",
         F.array_join(F.transform("p", lambda x: x["text"]), "").alias("formatted"),
         F.transform("p", lambda x: F.struct(F.length(x["text"]).alias("length"), x["loss"].alias("loss"))).alias("mask"),
-        F.transform(F.filter("p", lambda x: x["loss"]), lambda x: x["text"]).alias("loss_texts"),
     )
 
 
+def _cut(whole: Column, lengths: Column, take: Callable[[Column, Column, Column], Column]) -> Column:
+    """``take(whole, start, item)`` for each item of ``lengths``, with the start (from 1) that its ``length`` gives."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct((a["at"] + x["length"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+    return native.let(F.aggregate(lengths, start, step)["starts"], lambda s: F.zip_with(lengths, s, lambda x, at: take(whole, at, x)))
+
+
+def under_loss(formatted: Column, mask: Column) -> Column:
+    """The pieces of a formatted string that the mask lets count.
+
+    Characters are found by a walk from the start, so the string is first cut
+    into stretches of pieces, and these into pieces: long conversations take far
+    less than a walk over the whole for each piece.
+    """
+    first = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(mask) / STRETCH).cast("int") - 1))
+    total = lambda m: F.aggregate(m, F.lit(0), lambda n, x: n + x["length"])
+    stretch = lambda i: native.let(F.slice(mask, i * STRETCH + 1, STRETCH), lambda m: F.struct(total(m).alias("length"), m.alias("mask")))
+    counted = lambda w, at, x: F.when(x["loss"], w.substr(at, x["length"]))
+    pieces_of = lambda w, at, x: native.let(w.substr(at, x["length"]), lambda part: _cut(part, x["mask"], counted))
+    every = F.flatten(native.let(F.transform(first, stretch), lambda s: _cut(formatted, s, pieces_of)))
+    return F.filter(every, lambda x: x.isNotNull())
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings hold, read back from them."""
-    back = formatted.select("conv_id", "formatted", "loss_texts", read_back(F.col("formatted")).alias("turns"))
+    """What the formatted strings hold, read back from them; what the loss covers, by the mask."""
+    back = formatted.select("conv_id", "formatted", under_loss(F.col("formatted"), F.col("mask")).alias("loss_texts"), read_back(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     texts = back.select(
         "conv_id",

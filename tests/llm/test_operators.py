@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, fingerprints, jaccard_join, lattice_lm, licences, mixing, packing, page_text, quality_rules, suffix_dedup
 from tessera.llm.induced_sort import suffix_array
@@ -252,6 +253,21 @@ def test_chats(spark):
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_mask(spark):
+    """The mask decides what is under the loss, also in conversations of many pieces."""
+    turns = [(1, k, "user" if k % 2 else "assistant", f"t{k} é<|im_end|>梦" * (k % 3)) for k in range(700)] + [(2, 0, "user", "x")]
+    made = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert made.columns == ["conv_id", "formatted", "mask"]
+    for swap in (False, True):
+        chats = made.withColumn("mask", F.transform("mask", lambda x: F.struct(x["length"], F.lit(True).alias("loss")))) if swap else made
+        got = {r.conv_id: r for r in chat_format.digests(chats).collect()}
+        formatted = {r.conv_id: r.formatted for r in made.collect()}
+        unescape = lambda t: t.replace("&lt;|", "<|").replace("&amp;", "&")
+        for c in (1, 2):
+            loss = unescape(formatted[c]) if swap else "".join(t for k, _, r, t in turns if k == c and r == "assistant")
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs, n_blocks=5000).documents.collect()
     size = {i: len(WORDS.findall(t or "")) for i, t, _ in ROWS}
