@@ -96,6 +96,17 @@ class Filters:
                 frame = frame.where(test).drop(*flags)
         return frame
 
+    def flagged(self, name: str, frame: DataFrame, spec: dict[str, Any] | None, flag: str) -> DataFrame:
+        """The frame with a column that is true for the rows that match, else false."""
+        columns = frame.columns
+        frame, test, _ = self._column(name, frame, spec)
+        return frame.select(*columns, F.coalesce(test, F.lit(False)).alias(flag))
+
+    def split(self, name: str, frame: DataFrame, spec: dict[str, Any] | None) -> tuple[DataFrame, DataFrame]:
+        """The rows that match, and the others."""
+        rest = self.flagged(name, frame, spec, "_match").where("not _match").drop("_match")
+        return self.apply(name, frame, spec), rest
+
     def _is_relation(self, name: str, key: str) -> bool:
         return self.schema.is_relation(self.schema.field(name, key))
 
@@ -107,7 +118,7 @@ class Filters:
         target = self.schema.field(name, key).base
         if (name, key) in self.schema.reverse:
             other = self.snapshot[target]
-            return other.select(F.col(self.schema.reverse[name, key]).alias("owner"), F.col("id").alias("target")).where("owner is not null")
+            return other.select(F.col(self.schema.reverse[name, key][0]).alias("owner"), F.col("id").alias("target")).where("owner is not null")
         return frame.select(F.col("id").alias("owner"), F.explode(key).alias("target"))
 
     def _owners(self, name: str, frame: DataFrame, key: str, spec: Any, violating: bool) -> DataFrame:
@@ -115,10 +126,8 @@ class Filters:
         target = self.schema.field(name, key).base
         merged = {"and": _listed(spec)}
         if (name, key) in self.schema.reverse:
-            fk = self.schema.reverse[name, key]
-            other = self.snapshot[target]
-            hit = self.apply(target, other, merged)
-            rows = other.join(hit.select("id"), "id", "left_anti") if violating else hit
+            fk, other = self.schema.reverse[name, key][0], self.snapshot[target]
+            rows = self.split(target, other, merged)[1] if violating else self.apply(target, other, merged)
             return rows.select(F.col(fk).alias("owner")).where("owner is not null")
         links, good = self._links(name, frame, key), self._matching(target, merged).select(F.col("id").alias("target"))
         return links.join(good, "target", "left_anti" if violating else "left_semi").select("owner")
@@ -158,8 +167,11 @@ class Filters:
                 self.schema.field(name, key)
             elif self._is_relation(name, key):
                 flag = f"_flag{next(_names)}"
-                ids = self._relation(name, frame, key, arg).select(F.col("id").alias(f"{flag}_id"), F.lit(True).alias(flag)).distinct()
-                frame = frame.join(ids, frame["id"] == ids[f"{flag}_id"], "left").drop(f"{flag}_id")
+                t = self.schema.field(name, key)
+                # a single link is looked up by its target, a list by its owner
+                own, hit = ("id", self._relation(name, frame, key, arg)) if t.is_list else (key, self._matching(t.base, arg))
+                ids = hit.select(F.col("id").alias(f"{flag}_id"), F.lit(True).alias(flag)).distinct()
+                frame = frame.join(ids, frame[own] == ids[f"{flag}_id"], "left").drop(f"{flag}_id")
                 tests.append(F.coalesce(F.col(flag), F.lit(False)))
                 flags.append(flag)
             else:

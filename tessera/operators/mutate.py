@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections import ChainMap
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +24,17 @@ def content_hash(schema: Schema, name: str) -> Column:
 class Mutations:
     """Changes to an overlay of a snapshot; each sees the changes before it."""
 
-    def __init__(self, spark: SparkSession, schema: Schema, snapshot: dict[str, DataFrame], settle=None):
-        self.spark, self.schema, self.snapshot = spark, schema, dict(snapshot)
+    def __init__(self, spark: SparkSession, schema: Schema, snapshot: Mapping[str, DataFrame], settle=None):
+        self.spark, self.schema, self.snapshot = spark, schema, ChainMap({}, snapshot)
         self.changed: set[str] = set()
         self.settle = settle or (lambda name, frame: frame)
 
-    def _put(self, name: str, frame: DataFrame) -> None:
-        self.snapshot[name] = self.settle(name, frame)
+    def _put(self, name: str, frame: DataFrame) -> DataFrame:
+        """The settled frame is the collection from now on; columns of no field are only returned."""
+        settled = self.settle(name, frame)
+        self.snapshot[name] = settled.select(*self.snapshot[name].columns)
         self.changed.add(name)
+        return settled
 
     def hashed(self, name: str, frame: DataFrame) -> DataFrame:
         return frame.withColumn("hash", content_hash(self.schema, name)).select(*self.schema.struct(name).names)
@@ -74,31 +79,31 @@ class Mutations:
 
     def delete(self, name: str, spec: dict | None) -> DataFrame:
         """Remove matching documents; gives them as they were."""
-        before = self.snapshot[name]
-        gone = Filters(self.schema, self.snapshot).apply(name, before, spec)
-        self._put(name, before.join(gone.select("id"), "id", "left_anti").select(*before.columns))
+        gone, rest = Filters(self.schema, self.snapshot).split(name, self.snapshot[name], spec)
+        self._put(name, rest)
         return gone
 
     # update
 
     def update(self, name: str, spec: dict | None, patch: dict[str, Any]) -> DataFrame:
         """Patch matching documents; gives them as they are then. The filter sees the state before."""
-        ids = Filters(self.schema, self.snapshot).apply(name, self.snapshot[name], spec).select("id")
-        self.patch(name, ids.withColumn("times", F.lit(1)), patch)
-        return self.snapshot[name].join(ids, "id", "left_semi")
+        before = self.snapshot[name]
+        marked = Filters(self.schema, self.snapshot).flagged(name, before, spec, "_match")
+        return self._patch(name, marked.withColumn("times", F.when(F.col("_match"), F.lit(1))).drop("_match"), patch)
 
-    def patch(self, name: str, targets: DataFrame, patch: dict[str, Any]) -> None:
+    def patch(self, name: str, targets: DataFrame, patch: dict[str, Any]) -> DataFrame:
         """Patch the documents of ``targets(id, times)``; appending is done ``times`` times."""
-        before = self.snapshot[name]
-        hit = targets.withColumnRenamed("id", "_id")
-        frame = before.join(hit, before["id"] == hit["_id"], "left").drop("_id")
+        before, hit = self.snapshot[name], targets.withColumnRenamed("id", "_id")
+        return self._patch(name, before.join(hit, before["id"] == hit["_id"], "left").drop("_id"), patch)
+
+    def _patch(self, name: str, frame: DataFrame, patch: dict[str, Any]) -> DataFrame:
+        """Patch the rows of which ``times`` is not null; gives them as they are then."""
+        columns, marked = self.snapshot[name].columns, frame
         new: dict[str, Column] = {}
         after: list[tuple[str, DataFrame, dict]] = []
         for f, spec in (patch or {}).items():
-            if f == "hash" or spec is None:
-                continue
-            if f == "id":
-                raise RequestError("the id of a document can't be patched")
+            if f in SYSTEM or spec is None:
+                continue  # what the system sets is skipped
             t = self.schema.field(name, f)
             if self.schema.is_relation(t) and not t.is_list:
                 link = (spec.get("id") or {}).get("set")
@@ -106,7 +111,7 @@ class Mutations:
                     new[f] = F.lit(str(link))
                 rest = {k: v for k, v in spec.items() if k != "id"}
                 if rest:
-                    matched = before.join(targets, "id")
+                    matched = marked.where("times is not null")
                     if not matched.where(F.col(f).isNull()).isEmpty():
                         raise RequestError(f"field {f} of a matched document links to nothing")
                     after.append((t.base, matched.groupBy(F.col(f).alias("id")).agg(F.sum("times").alias("times")), rest))
@@ -128,12 +133,13 @@ class Mutations:
             else:
                 new[f] = self._kept(f, t, arg)
         matched = F.col("times").isNotNull()
-        columns = [F.when(matched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in before.columns]
-        changed = frame.select(*columns, matched.alias("_hit"))
+        changed = frame.select(*[F.when(matched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns], matched.alias("_hit"))
         hashes = F.when(F.col("_hit"), content_hash(self.schema, name)).otherwise(F.col("hash"))
-        self._put(name, changed.withColumn("hash", hashes).select(*before.columns))
+        settled = self._put(name, changed.withColumn("hash", hashes))
         for target, ids, rest in after:
             self.patch(target, ids, rest)
+        hit = settled.where("_hit").drop("_hit")
+        return hit if all(target != name for target, _, _ in after) else self.snapshot[name].join(hit.select("id"), "id", "left_semi")
 
     def _kept(self, f: str, t: TypeRef, arg: dict) -> Column:
         return F.filter(F.col(f), lambda x: element_predicate(self.schema, t, arg, x))

@@ -36,21 +36,16 @@ class Projector:
         t = self.schema.field(name, f.name)
         target, out, key = t.base, f"_rel_{f.alias}", f"_key_{f.alias}"
         inner = f.selection or [Field("id", "id")]
-        reverse = self.schema.reverse.get((name, f.name))
-        source = self.snapshot[target]
+        reverse, source = self.schema.reverse.get((name, f.name)), self.snapshot[target]
         if reverse:
-            source = source.withColumn("_fk", F.col(reverse))
-        rows = self.project(target, source, inner, ("id", "_fk") if reverse else ("id",)) if "id" not in [g.alias for g in inner] else self._with_id(target, source, inner, reverse)
+            return self._reverse(frame, f, target, source, *reverse)
+        rows = self.project(target, source, inner, ("id",)) if "id" not in [g.alias for g in inner] else self._with_id(target, source, inner)
         struct = F.struct(*[F.col(g.alias) for g in inner])
         if not t.is_list:
             side = rows.select(F.col("_id" if "_id" in rows.columns else "id").alias(key), struct.alias(out))
             joined = frame.join(side, frame[f.name] == side[key], "left").drop(key)
             return self._checked(joined, F.col(f.name).isNotNull() & F.col(out).isNull(), out)
         row_id = F.col("_id" if "_id" in rows.columns else "id")
-        if reverse:
-            grouped = rows.groupBy(F.col("_fk").alias(key)).agg(F.sort_array(F.collect_list(F.struct(row_id.alias("p"), struct.alias("v")))).alias("l"))
-            joined = frame.join(grouped, frame["id"] == grouped[key], "left")
-            return joined.withColumn(out, F.coalesce(F.transform("l", lambda x: x["v"]), F.array())).drop("l", key)
         links = frame.select(F.col("id").alias(key), F.posexplode(f.name).alias("p", "_target"))
         side = rows.select(row_id.alias("_tid"), struct.alias("v"))
         found = links.join(side, links["_target"] == side["_tid"], "left")
@@ -59,9 +54,19 @@ class Projector:
         joined = frame.join(grouped, frame["id"] == grouped[key], "left")
         return joined.withColumn(out, F.when(F.col(f.name).isNotNull(), F.coalesce(F.transform("l", lambda x: x["v"]), F.array()))).drop("l", key)
 
-    def _with_id(self, target: str, source: DataFrame, inner: list[Field], reverse: str | None) -> DataFrame:
-        source = source.withColumn("_id", F.col("id"))
-        return self.project(target, source, inner, ("_id", "_fk") if reverse else ("_id",))
+    def _reverse(self, frame: DataFrame, f: Field, target: str, source: DataFrame, fk: str, order: tuple[str, ...]) -> DataFrame:
+        """A list held by the other side's key, in its declared order, then by what is projected."""
+        out, key, inner = f"_rel_{f.alias}", f"_key_{f.alias}", f.selection or [Field("id", "id")]
+        place = [f"_at{i}" for i in range(len(order))]
+        source = source.select("*", F.col(fk).alias("_fk"), *[F.col(c).alias(p) for c, p in zip(order, place)])
+        rows = self.project(target, source, inner, ("_fk", *place))
+        item = F.struct(*place, F.struct(*[F.col(g.alias) for g in inner]).alias("v"))
+        grouped = rows.groupBy(F.col("_fk").alias(key)).agg(F.sort_array(F.collect_list(item)).alias("l"))
+        joined = frame.join(grouped, frame["id"] == grouped[key], "left")
+        return joined.withColumn(out, F.coalesce(F.transform("l", lambda x: x["v"]), F.array())).drop("l", key)
+
+    def _with_id(self, target: str, source: DataFrame, inner: list[Field]) -> DataFrame:
+        return self.project(target, source.withColumn("_id", F.col("id")), inner, ("_id",))
 
     def _checked(self, frame: DataFrame, missing: Column, out: str) -> DataFrame:
         if not self.strict:

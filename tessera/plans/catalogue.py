@@ -68,8 +68,8 @@ def _mutations(spark: SparkSession, d: str) -> Mutations:
     """The tables with keys as text, which new documents' ids are."""
     schema, snapshot = tables(spark, d)
     keys = lambda n: {"id"} | {f for f, t in schema.type(n).fields.items() if schema.is_relation(t)}
-    text = {n: s.select(*[F.col(c).cast("string").alias(c) if c in keys(n) else F.col(c) for c in s.columns]) for n, s in snapshot.items()}
-    return Mutations(spark, schema, text)
+    text = lambda n, s: s.select(*[F.col(c).cast("string").alias(c) if c in keys(n) else F.col(c) for c in s.columns])
+    return Mutations(spark, schema, snapshot.mapped(text))
 
 
 def create_insert(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -100,24 +101,24 @@ class Request:
 
 
 
-def list_frame(schema: Schema, snapshot: dict[str, DataFrame], name: str, spec: dict | None, selection: list[Field], strict: bool = False) -> DataFrame:
+def list_frame(schema: Schema, snapshot: Mapping[str, DataFrame], name: str, spec: dict | None, selection: list[Field], strict: bool = False) -> DataFrame:
     """The lazy plan of ``listX``: filter, then project, with ``id`` kept aside for order."""
     rows = Filters(schema, snapshot).apply(name, snapshot[name], spec)
     return Projector(schema, snapshot, strict).project(name, rows, selection)
 
 
-def frames(schema: Schema, snapshot: dict[str, DataFrame], text: str, variables: dict | None = None) -> dict[str, DataFrame]:
+def frames(schema: Schema, snapshot: Mapping[str, DataFrame], text: str, variables: dict | None = None) -> dict[str, DataFrame]:
     """One lazy DataFrame for each ``listX`` and ``findX`` of a query, by response key."""
     request = Request(schema, text, None, variables)
     out = {}
     for f in request.fields("Query", request.operation.selection):
         kind, name = _split(f, ("list", "find"))
         selection = request.document_fields(schema.type(name).name, f.selection, f.at)
-        spec = f.arguments.get("filter")
         if kind == "find":
-            snapshot = {**snapshot, name: snapshot[name].where(F.col("id") == schema.coerce(TypeRef("ID"), f.arguments["id"]))}
-            spec = None
-        out[f.alias] = list_frame(schema, snapshot, name, spec, selection)
+            one = snapshot[name].where(F.col("id") == schema.coerce(TypeRef("ID"), f.arguments["id"]))
+            out[f.alias] = Projector(schema, snapshot).project(name, one, selection)
+        else:
+            out[f.alias] = list_frame(schema, snapshot, name, f.arguments.get("filter"), selection)
     return out
 
 
@@ -174,7 +175,7 @@ class _Run:
             return self._rows(name, self.tx.snapshot[name].where(F.col("id") == made), f)[0]
         if kind == "update":
             return self._rows(name, self.tx.update(name, f.arguments.get("filter"), f.arguments.get("patch")), f)
-        before = dict(self.tx.snapshot)
+        before = self.tx.snapshot.copy()
         gone = self.tx.delete(name, f.arguments.get("filter"))
         after, self.tx.snapshot = self.tx.snapshot, before
         try:

@@ -22,14 +22,14 @@ SYSTEM = ("id", "hash")
 
 @dataclass
 class Schema:
-    """Declared object types. ``reverse`` names list relations held by the other side's key."""
+    """Declared object types. ``reverse`` names list relations held by the other side's key, and the order of the list."""
 
     source: str
     types: dict[str, Declared]
-    reverse: dict[tuple[str, str], str] = field(default_factory=dict)
+    reverse: dict[tuple[str, str], tuple[str, tuple[str, ...]]] = field(default_factory=dict)
 
     @classmethod
-    def parse(cls, source: str, reverse: dict[tuple[str, str], str] | None = None) -> Schema:
+    def parse(cls, source: str, reverse: dict[tuple[str, str], tuple[str, tuple[str, ...]]] | None = None) -> Schema:
         types = parse_schema(source)
         for d in types.values():
             for f, t in d.fields.items():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator, Mapping
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,39 @@ type Document { doc_id: Int  text: String  lang: String  source: String  n_chars
 type Label { quality: Int  toxic: Int  document: Document }
 """
 _STAMP = "yyyy-MM-dd HH:mm:ss"
+#: By session: frames of tables and collections, each for the time that its file was last changed.
+_frames: WeakKeyDictionary[SparkSession, dict[tuple, tuple[int, DataFrame]]] = WeakKeyDictionary()
+
+
+def _kept(spark: SparkSession, path: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A lazy frame over one file, planned once for each time that the file was changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    known = _frames.setdefault(spark, {})
+    if known.get((path, label), (None, None))[0] != changed:
+        known[path, label] = (changed, make())
+    return known[path, label][1]
+
+
+class Snapshot(Mapping):
+    """Collections by name, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def mapped(self, change: Callable[[str, DataFrame], DataFrame]) -> Snapshot:
+        return Snapshot({n: lambda n=n: change(n, self[n]) for n in self.makers})
 
 
 def collection(frame: DataFrame, key: Column | str, columns: dict[str, Column | str]) -> DataFrame:
@@ -37,24 +74,45 @@ def _prefixed(frame: DataFrame, prefix: str) -> dict[str, Column | str]:
     return {c.removeprefix(prefix): F.date_format(c, _STAMP) if c in stamp else c for c in frame.columns}
 
 
-def tables(spark: SparkSession, d: str) -> tuple[Schema, dict[str, DataFrame]]:
-    """The driver's tables: schema, and the lazy snapshot."""
-    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    schema = Schema.parse(SOURCE, {("Order", "lines"): "order"})
-    region, nation, customer, supplier = read("region"), read("nation"), read("customer"), read("supplier")
-    part, orders, lineitem, events = read("part"), read("orders"), read("lineitem"), read("events")
-    sparse = {"sparse": F.when(F.col("event_id") % 7 != 0, F.col("value")), "big": F.col("value") > 50}
-    line_id = F.sha2(F.to_json(F.struct(*lineitem.columns)), 256)
-    return schema, {
-        "Region": collection(region, "r_regionkey", _prefixed(region, "r_")),
-        "Nation": collection(nation, "n_nationkey", _prefixed(nation, "n_") | {"region": "n_regionkey"}),
-        "Customer": collection(customer, "c_custkey", _prefixed(customer, "c_") | {"nation": "c_nationkey"}),
-        "Supplier": collection(supplier, "s_suppkey", _prefixed(supplier, "s_") | {"nation": "s_nationkey"}),
-        "Part": collection(part, "p_partkey", _prefixed(part, "p_")),
-        "Order": collection(orders, "o_orderkey", _prefixed(orders, "o_") | {"customer": "o_custkey"}),
-        "Lineitem": collection(lineitem, line_id, _prefixed(lineitem, "l_") | {"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}),
-        "Event": collection(events, "event_id", _prefixed(events, "") | sparse),
-        "Embedding": collection(read("embeddings"), "vec_id", {"vec_id": "vec_id", "embedding": F.col("embedding").cast("array<double>"), "label": "label"}),
-        "Document": collection(read("documents"), "doc_id", {c: c for c in ("doc_id", "text", "lang", "source", "n_chars")}),
-        "Label": collection(read("labels"), "doc_id", {"quality": "quality", "toxic": "toxic", "document": "doc_id"}),
-    }
+#: collection: table, key, prefix of its columns, links
+_KEYED = {
+    "Region": ("region", "r_regionkey", "r_", {}),
+    "Nation": ("nation", "n_nationkey", "n_", {"region": "n_regionkey"}),
+    "Customer": ("customer", "c_custkey", "c_", {"nation": "c_nationkey"}),
+    "Supplier": ("supplier", "s_suppkey", "s_", {"nation": "s_nationkey"}),
+    "Part": ("part", "p_partkey", "p_", {}),
+    "Order": ("orders", "o_orderkey", "o_", {"customer": "o_custkey"}),
+    "Lineitem": ("lineitem", None, "l_", {"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}),
+    "Document": ("documents", "doc_id", "", {}),
+    "Label": ("labels", "doc_id", "", {"document": "doc_id"}),
+}
+#: Lists held by the other side's key, and the fields that order them.
+REVERSE = {("Order", "lines"): ("order", ("linenumber",))}
+
+
+@functools.cache
+def _schema() -> Schema:
+    return Schema.parse(SOURCE, REVERSE)
+
+
+def tables(spark: SparkSession, d: str) -> tuple[Schema, Snapshot]:
+    """The driver's tables: schema, and the lazy snapshot. A line has no key: its id is a digest, which equal lines share."""
+    schema = _schema()
+
+    def keyed(frame: DataFrame, key: str | None, prefix: str, links: dict[str, str]) -> DataFrame:
+        own = key or F.sha2(F.to_json(F.struct(*frame.columns)), 256)
+        return collection(frame, own, _prefixed(frame, prefix) | links)
+
+    def events(frame: DataFrame) -> DataFrame:
+        sparse = {"sparse": F.when(F.col("event_id") % 7 != 0, F.col("value")), "big": F.col("value") > 50}
+        return collection(frame, "event_id", _prefixed(frame, "") | sparse)
+
+    def embeddings(frame: DataFrame) -> DataFrame:
+        return collection(frame, "vec_id", {"vec_id": "vec_id", "embedding": F.col("embedding").cast("array<double>"), "label": "label"})
+
+    def maker(name: str, table: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
+        path = f"{d}/{table}.parquet"
+        return lambda: _kept(spark, path, name, lambda: make(spark.read.parquet(path)))
+
+    makers = {name: maker(name, table, lambda frame, rest=rest: keyed(frame, *rest)) for name, (table, *rest) in _KEYED.items()}
+    return schema, Snapshot(makers | {"Event": maker("Event", "events", events), "Embedding": maker("Embedding", "embeddings", embeddings)})

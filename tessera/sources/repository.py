@@ -20,6 +20,7 @@ from ..operators.merge import theirs as take_theirs
 from ..operators.mutate import Mutations
 from ..plans.schema import Schema
 from ..plans.syntax import RequestError
+from .external import Snapshot
 
 
 def digest(*parts: str) -> str:
@@ -64,7 +65,7 @@ class Transaction(Mutations):
     """A snapshot of one commit with changes on top."""
 
     def __init__(self, repo: Repository, at: str):
-        super().__init__(repo.spark, repo.schema, {n: repo.snapshot(n, at) for n in repo.schema.types}, repo._settle)
+        super().__init__(repo.spark, repo.schema, Snapshot({n: lambda n=n: repo.snapshot(n, at) for n in repo.schema.types}), repo._settle)
         self.repo, self.base = repo, at
 
     def read(self, name: str, doc_id: str) -> dict:
