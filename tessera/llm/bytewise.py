@@ -7,7 +7,9 @@ in blocks of whole rows of about ``BLOCK`` bytes; a longer row is one block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +156,21 @@ class HashIndex:
             done = self.keys[slot] == h
             done &= self.values[slot] == number
             h, number, slot = h[~done], number[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+
+_T = TypeVar("_T")
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released(value: _T) -> _T:
+    """The value, after memory that a task has freed went back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    return value
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the task's freed memory goes back to the system."""
+    yield from batches
+    released(None)

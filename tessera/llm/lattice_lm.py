@@ -1,18 +1,24 @@
 """Text likelihood over all segmentations into subwords (operator 4).
 
 The vocabulary is that of an existing subword model; a word, with the mark of
-its start, is a lattice of all ways to spell it by pieces. Piece weights start
-from the vocabulary's own scores and are re-estimated by expectation
-maximisation over the distinct words of the training documents (each once, as
-spelling has to serve words not met before). A word met in training is one more arc over its whole lattice, with
-its discounted relative frequency; the discount pays for all spelled ways. A
-text's probability is the product over its words of the lattice's
-total weight, by a forward recursion in log space, and one end of text.
-
-The corpus is gathered as a table of distinct words with counts, whose size
-follows the corpus. Documents are dealt to chunks by id; a chunk sends its
-distinct words once and gets their counts and log probabilities back, so a
-frequent word costs a row per chunk, not one per occurrence.
+its start, is a lattice of all ways to spell it by pieces, and the vocabulary's
+own scores weigh them: a forward recursion in log space sums over all
+segmentations. The scores at hand are ranks, so a piece's weight is
+1 / (rank + ``MANDELBROT``), Zipf's law; a single character, which such
+vocabularies list last whatever its frequency, counts as the best piece it is in.
+Nothing re-estimates these weights.
+
+What is learned from the training documents are words: each is one more arc over
+its whole lattice, with its discounted relative frequency, and the discount pays
+for all spelled ways; so is the end of text. A text's probability is the product
+over its words of the lattice's total, and one end. ``spelled_score`` has the
+lattice of pieces alone.
+
+One pass reads the texts. It writes each chunk of documents as its distinct
+words, dealt to buckets by their hash, and each document as numbers of its
+chunk's words. A bucket adds up the counts of its words, runs the recursion once
+for each, and answers every chunk: a frequent word costs an entry per chunk, not
+one per occurrence, and no text is sent. All that is gathered follows the corpus.
 
 Defined results
 * null or empty text: one token, the end
@@ -21,15 +27,15 @@ Defined results
 * null ids: their remainder is that of the empty string
 * very long texts and words: one row is held; a word costs its length times the
   longest piece
-* no training text: counts are 0, piece weights stay those of the vocabulary
+* no training text: counts are 0, and the lattice alone scores
 * empty table: no rows; extra columns are ignored
+* words are told apart by their bytes inside a chunk and by 64-bit hashes over chunks
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +47,12 @@ from . import bytewise
 from .scratch import Scratch
 
 FOLDS, HELD_OUT = 7, 2
-ROUNDS = 3
-CHUNK_DOCS = 4000
+#: Bytes of text that a chunk has about, and that a bucket's words come from.
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 48 << 20
 _START = "▁"
-_find = re.compile(r"[^\x20\x09-\x0D]+").findall
-_CAPITALS = {i: i + 32 for i in range(65, 91)}
-#: Added to a piece's expected count, so that none is impossible.
-_PRIOR = 0.01
+#: The offset of Mandelbrot's form of Zipf's law.
+MANDELBROT = 2.7
 #: Taken from the count of each word met in training.
 DISCOUNT = 0.7
 
@@ -58,6 +63,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_MARK = _START.encode()
+
+
 class Lattice:
     """The pieces of a vocabulary by the hash of their bytes, and sums over segmentations."""
 
@@ -68,8 +76,6 @@ class Lattice:
         n = model.vocab_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         scores = np.array([model.get_score(i) for i in range(n)])
-        self.size = n + 1
-        self.end = n  # end of text
         usable = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and _START not in pieces[i][1:]]
         texts = [pieces[i].encode() for i in usable]
         self.longest = max(map(len, texts))
@@ -80,16 +86,20 @@ class Lattice:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable)[order]
         self.bytes = np.array([next((i for i in range(n) if model.is_byte(i) and pieces[i] == f"<0x{b:02X}>"), -1) for b in range(256)])
-        # the vocabulary scores its pieces by -rank; Zipf's law turns ranks into weights
-        weight = np.zeros(self.size)
-        weight[usable] = 1.0 / (np.maximum(0.0, np.minimum(-scores[usable], n)) + 10.0)
-        weight[self.bytes[self.bytes >= 0]] = 1.0 / (n + 10.0)
-        weight[self.end] = weight.max()
-        self.start = np.log(np.maximum(weight, 1e-300) / weight.sum())
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        rank = np.clip(-scores, 0.0, n)
+        best: dict[str, float] = {}
+        for i in usable:
+            for c in set(pieces[i]):
+                best[c] = min(best.get(c, n), rank[i])
+        weight = np.zeros(n)
+        for i in usable:
+            weight[i] = 1.0 / ((best[pieces[i]] if len(pieces[i]) == 1 else rank[i]) + MANDELBROT)
+        weight[self.bytes[self.bytes >= 0]] = 1.0 / (n + MANDELBROT)
+        self.log_p = np.log(np.maximum(weight, 1e-300) / weight.sum())
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """All pieces in some words laid end to end: (from, to, piece), and the offsets of the words."""
-        raw = [(_START + w).encode() for w in words]
+        raw = [_MARK + w for w in words]
         n = np.array([len(r) for r in raw], np.int64)
         offsets = np.concatenate([[0], np.cumsum(n)])
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -138,136 +148,126 @@ class Lattice:
                 alpha[t[first]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, n)), first))
         return alpha
 
-    def score(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
-        """The natural log of each word's probability."""
-        if not words:
-            return np.zeros(0)
-        f, t, p, at = self.edges(words)
-        return self.forward(f, t, log_p[p], at)[at[1:] - 1]
-
-    def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """How often each piece is used in words that come so often, on average over segmentations."""
-        out = np.zeros(self.size)
-        if not words:
-            return out
-        f, t, p, at = self.edges(words)
-        w = log_p[p]
-        alpha = self.forward(f, t, w, at)
-        # backwards: the same recursion with states counted from each word's end
-        n = np.diff(at)
-        back = np.repeat(at[:-1] + at[1:] - 1, n) - np.arange(at[-1])
-        beta = self.forward(back[t], back[f], w, at)[back]
-        word = np.searchsorted(at, f, side="right") - 1
-        with np.errstate(invalid="ignore"):
-            use = np.exp(alpha[f] + w + beta[t] - alpha[at[1:] - 1][word])
-        np.add.at(out, p, np.nan_to_num(use) * counts[word])
-        return out
-
+    def score(self, words: list[bytes], batch: int = 4096) -> np.ndarray:
+        """The natural log of each word's total weight over all its segmentations."""
+        out = [np.zeros(0)]
+        for i in range(0, len(words), batch):
+            f, t, p, at = self.edges(words[i : i + batch])
+            out.append(self.forward(f, t, self.log_p[p], at)[at[1:] - 1])
+        return np.concatenate(out)
 
 @functools.cache
 def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-_BAG = "word string, chunk int, n long, trained long"
-
-
-def _bag(table: pa.Table) -> pa.Table:
-    """A chunk's distinct words, with how often they come in all and in training documents."""
-    everything: Counter = Counter()
-    trained: Counter = Counter()
-    for text, held in zip(table.column("text"), table.column("held_out").to_pylist()):
-        words = _find((text.as_py() or "").translate(_CAPITALS))
-        everything.update(words)
-        if not held:
-            trained.update(words)
-    words = list(everything)
-    chunk = table.column("chunk")[0].as_py()
-    return pa.table({"word": pa.array(words, pa.string()), "chunk": pa.array([chunk] * len(words), pa.int32()), "n": pa.array(list(everything.values()), pa.int64()), "trained": pa.array([trained[w] for w in words], pa.int64())})
-
-
-def _batches(words: pa.Array, size: int = 4096) -> Iterator[tuple[int, list[str]]]:
-    values = words.to_pylist()
-    for i in range(0, len(values), size):
-        yield i, values[i : i + size]
-
-
-def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of pieces from ``word, trained``: expectation maximisation over every distinct word."""
-    grid = lattice(path)
-    log_p = grid.start
-    for _ in range(rounds):
-        now = words.sparkSession.sparkContext.broadcast(log_p)
-
-        def count(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            grid, total = lattice(path), None
-            for batch in batches:
-                total = np.zeros(grid.size) if total is None else total
-                for _, part in _batches(batch.column(0)):
-                    total += grid.expected(part, np.ones(len(part)), now.value)
-            if total is not None:
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.float64())], names=["piece", "n"])
-
-        rows = words.where("trained > 0").select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        counts = np.full(grid.size, _PRIOR)  # as many rows as the vocabulary has pieces at most
-        for r in rows:
-            counts[r["piece"]] += r["n"]
-        counts[grid.end] += min(ends, counts.sum())
-        log_p = np.log(counts / counts.sum())
-    return log_p
-
-
-def score_documents(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+_COUNTED = ("words", "lengths", "trained")
+_PER_DOC = ("held_out", "n_tokens", "numbers", "times")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk: a row per bucket with its distinct words, and a row per document (bucket -1)."""
+    for batch in batches:
+        held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for first, data, offsets in bytewise.blocks(batch.column(1), chunk_bytes):
+            n = len(offsets) - 1
+            low = bytewise.ascii_lower(data)
+            starts, ends, counts = bytewise.words(low, offsets)
+            h = np.concatenate([bytewise.hash_runs(low, starts[i : i + 65536], ends[i : i + 65536]) for i in range(0, max(len(starts), 1), 65536)])
+            _, one, which = np.unique(h, return_index=True, return_inverse=True)
+            bucket = (h[one] >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")  # the words' numbers in this chunk
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            token, bucket, one = number[which].astype(np.int64), bucket[order], one[order]
+            trained = np.bincount(token[np.repeat(~held[first : first + n], counts)], minlength=len(one)).astype("<u4")
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            rows: list[tuple] = []
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                at = one[cuts[b] : cuts[b + 1]]
+                size = ends[at] - starts[at]
+                text = low[np.arange(int(size.sum())) + np.repeat(starts[at] - (np.cumsum(size) - size), size)]
+                rows.append((chunk, b, text.tobytes(), size.astype("<u4").tobytes(), trained[cuts[b] : cuts[b + 1]].tobytes(), None, None, None, None, None))
+            yield _batch(rows, batch.schema.field(0).type)
+            edge = np.concatenate([[0], np.cumsum(counts)])
+            rows = []
+            for r in range(n):
+                own, times = np.unique(token[edge[r] : edge[r + 1]], return_counts=True)
+                steps = np.diff(own, prepend=0).astype("<u4")
+                rows.append((chunk, -1, None, None, None, batch.column(0)[first + r].as_py(), bool(held[first + r]), int(counts[r]) + 1, steps.tobytes(), times.astype("<u4").tobytes()))
+            yield _batch(rows, batch.schema.field(0).type)
+
+
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), id_type, pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["chunk", "bucket", *_COUNTED, "doc_id", *_PER_DOC]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+_PRICES = "chunk long, bucket int, counts binary, spelled binary, known long"
+
+
+def _prices(table: pa.Table, path: str) -> pa.Table:
+    """For each chunk of a bucket: the training counts and lattice totals of its words, in its order.
+
+    ``known``, on one row, is how many distinct words of the bucket training has.
+    """
+    lengths = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column("lengths")]
+    data = np.frombuffer(b"".join(x.as_py() for x in table.column("words")), np.uint8)
+    trained = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("trained")])
+    size = np.concatenate(lengths)
+    ends = np.cumsum(size)
+    h = np.concatenate([bytewise.hash_runs(data, (ends - size)[i : i + 65536], ends[i : i + 65536]) for i in range(0, len(size), 65536)])
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    counts = np.bincount(which, trained, len(one)).astype("<i8")
+    raw = data.tobytes()
+    words = [raw[i:j] for i, j in zip((ends - size)[one].tolist(), ends[one].tolist())]
+    spelled = lattice(path).score(words)
+    cuts = np.cumsum([len(x) for x in lengths])[:-1]
+    parts = [(counts[w].tobytes(), spelled[w].astype("<f8").tobytes()) for w in np.split(which, cuts)]
+    columns = [table.column("chunk"), table.column("bucket"), *(pa.array([p[i] for p in parts], pa.binary()) for i in (0, 1))]
+    known = pa.array([int((counts > 0).sum()), *[0] * (len(parts) - 1)], pa.int64())
+    return bytewise.released(pa.table([*columns, known], names=["chunk", "bucket", "counts", "spelled", "known"]))
+
+
+def score_documents(docs: DataFrame, vocabulary: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of all documents by the lattice and by add-one word counts, learned on the training folds."""
     path = vocabulary or default_vocabulary()
-    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "lattice")
+    tmp = Scratch(docs.sparkSession, "lattice")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    n_docs, n_train = texts.agg(F.count("*"), F.count_if(~F.col("held_out"))).first()
-    chunks = max(1, -(-n_docs // chunk_docs))
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-
-    bags = tmp.table("bags", dealt.groupBy("chunk").applyInArrow(_bag, _BAG))
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(8, total // BUCKET_BYTES)
+    doc_type = texts.schema["doc_id"].dataType.simpleString()
+    counted, per_doc = (", ".join(f"{c} {t}" for c, t in zip(names, types)) for names, types in ((_COUNTED, ["binary"] * 3), (_PER_DOC, ["boolean", "long", "binary", "binary"])))
+    chunks = tmp.table("chunks", texts.mapInArrow(lambda it: bytewise.tidy(_chunks(it, buckets, chunk_bytes)), f"chunk long, bucket int, {counted}, doc_id {doc_type}, {per_doc}"))
+    own, bags = chunks.where("bucket < 0").select("chunk", "doc_id", *_PER_DOC), chunks.where("bucket >= 0").select("chunk", "bucket", *_COUNTED)
+    n_train, tokens = own.where("not held_out").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    prices = tmp.table("prices", bags.groupBy("bucket").applyInArrow(lambda t: _prices(t, path), _PRICES))
     tmp.drop()
-    words = tmp.table("words", bags.groupBy("word").agg(F.sum("trained").alias("trained")))
-    known, tokens = words.agg(F.count_if(F.col("trained") > 0), F.coalesce(F.sum("trained"), F.lit(0))).first()
-    train_tokens, distinct = tokens + n_train, known + (n_train > 0)
-    log_p = spark.sparkContext.broadcast(train(words, n_train, path, rounds))
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [lattice(path).score(part, log_p.value) for _, part in _batches(batch.column(0))]
-            spelled = np.concatenate(got or [np.zeros(0)])
-            whole = np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0.0) / max(train_tokens, 1)
-            with np.errstate(divide="ignore"):
-                both = np.logaddexp(np.log(whole), spelled + np.log(share))
-            cols = [batch.column(0), batch.column(1), pa.array(both), pa.array(spelled)]
-            yield pa.RecordBatch.from_arrays(cols, names=["word", "trained", "log_p", "spelled"])
-
-    share = DISCOUNT * known / train_tokens if train_tokens else 1.0
-    priced = tmp.table("priced", words.mapInArrow(price, "word string, trained long, log_p double, spelled double"))
-    prices = bags.select("word", "chunk").join(priced, "word").select(F.col("chunk").alias("chunk"), "word", "trained", "log_p", "spelled")
-    smooth = np.log10(train_tokens + distinct + 1)
+    known = prices.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    distinct = known + (n_train > 0)
+    smooth = np.log10(tokens + distinct + 1)
+    share = DISCOUNT * known / tokens if tokens else 1.0
     end_base = float(np.log10(n_train + 1) - smooth)
-    end_spelled = float(log_p.value[-1])
-    end_whole = float(np.log(n_train / train_tokens)) if n_train else end_spelled
-    doc_type = dict(docs.dtypes)["doc_id"]
+    end = float(np.log(n_train / tokens)) if tokens else 0.0
     figures = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "spelled_score": pa.float64()}
 
-    def score(_key: tuple, chunk: pa.Table, table: pa.Table) -> pa.Table:
-        index = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        c, whole, spelled = (np.asarray(table.column(n).to_numpy(), float) for n in ("trained", "log_p", "spelled"))
+    def score(_key: tuple, docs: pa.Table, prices: pa.Table) -> pa.Table:
+        order = np.argsort(prices.column("bucket").to_numpy())
+        join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(prices.column(c)[i].as_py(), t) for i in order.tolist())])
+        c, spelled = join("counts", "<i8"), join("spelled", "<f8")
         base = np.log10(c + 1.0) - smooth
+        with np.errstate(divide="ignore"):
+            both = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0.0) / max(tokens, 1)), spelled + np.log(share)) if share else np.log(np.maximum(c - DISCOUNT, 0.0) / tokens)
         rows = []
-        for text in chunk.column("text"):
-            found = _find((text.as_py() or "").translate(_CAPITALS))
-            k = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-            known_here = int((c[k] > 0).sum()) + (n_train > 0)
-            sums = [base[k].sum() + end_base, (whole[k].sum() + end_whole) / np.log(10.0), (spelled[k].sum() + end_spelled) / np.log(10.0)]
-            rows.append((len(found) + 1, known_here, train_tokens, *map(float, sums)))
+        for steps, times, n in zip(*(docs.column(x) for x in ("numbers", "times", "n_tokens"))):
+            k, t = np.cumsum(np.frombuffer(steps.as_py(), "<u4"), dtype=np.int64), np.frombuffer(times.as_py(), "<u4")
+            sums = [base[k] @ t + end_base, (both[k] @ t + end) / np.log(10.0), (spelled[k] @ t + end) / np.log(10.0)]
+            rows.append((n.as_py(), int(t[c[k] > 0].sum()) + (n_train > 0), tokens, *map(float, sums)))
         cols = {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(figures.items())}
-        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), **cols})
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **cols})
 
     schema = f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
-    return dealt.groupBy("chunk").cogroup(prices.groupBy("chunk")).applyInArrow(score, schema)
+    return own.groupBy("chunk").cogroup(prices.drop("known").groupBy("chunk")).applyInArrow(score, schema)

@@ -200,14 +200,27 @@ def test_sql(spark, sf):
     assert mismatches(spark, QUERIES, ORACLE_SQL, sf) == {}
 
 
+def _vocabulary():
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=lattice_lm.default_vocabulary())
+    usable = [i for i in range(m.vocab_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+    return {m.id_to_piece(i).encode(): i for i in usable if "▁" not in m.id_to_piece(i)[1:]}
+
+
 def test_lattice(docs, none):
     grid = lattice_lm.lattice(lattice_lm.default_vocabulary())
-    words = ["the", "éa", "a", "thntblere", "梦x"]
-    used = grid.expected(words, np.ones(len(words)), grid.start)
-    for i in np.argsort(-used)[:4]:  # an expected count is the derivative of the log likelihood
-        moved = grid.start.copy()
-        moved[i] += 1e-5
-        assert abs((grid.score(words, moved).sum() - grid.score(words, grid.start).sum()) / 1e-5 - used[i]) < 1e-3
+    pieces = _vocabulary()
+
+    def spell(raw):  # every segmentation, one by one
+        if not raw:
+            return 1.0
+        by_byte = math.exp(grid.log_p[grid.bytes[raw[0]]]) * spell(raw[1:])
+        return by_byte + sum(math.exp(grid.log_p[i]) * spell(raw[len(p) :]) for p, i in pieces.items() if raw.startswith(p))
+
+    words = ["the", "éa", "a", "ther", "梦x", "Ab"]
+    want = [math.log(spell("▁".encode() + w.encode())) for w in words]
+    assert np.allclose(grid.score([w.encode() for w in words]), want, rtol=1e-9)
     rows = lattice_lm.score_documents(docs).collect()
     count = collections.Counter()
     for i, t, _ in ROWS:
@@ -220,7 +233,19 @@ def test_lattice(docs, none):
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tokens)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(count[x] > 0 for x in tokens), n)
         assert abs(base - r.base_score) < 1e-6 * max(1, abs(base)) and math.isfinite(r.score) and r.score < 0
+        lengths = collections.Counter(tokens[:-1])
+        one = dict(zip(lengths, grid.score([x.encode() for x in lengths])))
+        known = sum(x != "\0end" for x in count)
+        end, spelled = math.log(count["\0end"] / n), math.log(lattice_lm.DISCOUNT * known / n)
+        both = end + sum(k * np.logaddexp(one[x] + spelled, math.log(max(count[x] - lattice_lm.DISCOUNT, 1e-300) / n)) for x, k in lengths.items())
+        assert abs(both / math.log(10) - r.score) < 1e-6 * abs(r.score)
+        assert abs((end + sum(k * one[x] for x, k in lengths.items())) / math.log(10) - r.spelled_score) < 1e-6 * abs(r.spelled_score)
     assert len(rows) == len(ROWS) and lattice_lm.score_documents(none).count() == 0
+    # chunks of a few bytes give the same rows; so do repeated rows, which count again
+    small = {r.doc_id: tuple(r) for r in lattice_lm.score_documents(docs, chunk_bytes=100).collect()}
+    assert {i: [round(x, 6) for x in r if isinstance(x, float)] for i, r in small.items()} == {r.doc_id: [round(x, 6) for x in r if isinstance(x, float)] for r in rows}
+    twice = {r.doc_id: r.train_tokens for r in lattice_lm.score_documents(docs.union(docs)).collect()}
+    assert set(twice.values()) == {2 * n} and len(twice) == len(ROWS)
 
 
 def test_fingerprints(docs, none):
