@@ -34,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.tables: dict[str, str] = {}
         atexit.register(self._at_exit)
 
     def table(self, name: str, frame: DataFrame) -> DataFrame:
@@ -42,6 +43,14 @@ class Scratch:
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def bucketed(self, name: str, frame: DataFrame, buckets: int, key: str) -> DataFrame:
+        """Write the frame dealt by a key; grouping what is read back by it needs no shuffle."""
+        table = f"tessera_{uuid.uuid4().hex}"
+        self.tables[name] = table
+        dealt = frame.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd")
+        dealt.option("path", f"{self.path}/{name}").mode("overwrite").saveAsTable(table)
+        return self.spark.table(table)
+
     def forget(self, name: str) -> None:
         """Delete one table that nothing reads any more."""
         self._delete(f"{self.path}/{name}")
@@ -49,6 +58,8 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no lazy result still reads, and let Spark free old shuffle files."""
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             self._delete(f"{self.path}/{name}")
         self.spark.sparkContext._jvm.System.gc()
 

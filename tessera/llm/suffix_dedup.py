@@ -3,33 +3,39 @@
 A byte goes if a 50-byte string over it also starts in a document with a smaller
 id. Equal strings must meet before they can be sorted together, so:
 
-1. Each 50-byte window elects the 16-byte gram in it with the least hash; equal
-   windows elect equal grams. Elected grams meet in hash buckets, and those of
-   two documents or more are reported back to their documents. Nothing that
-   repeats is lost: this is a filter without false negatives.
-2. Those documents send the stretches whose windows elected a reported gram (at
-   most 84 bytes each) to the gram's bucket. The distinct stretches of a bucket are
-   one text, whose suffix array is built by induced sorting with queues on disk.
+1. Texts are dealt to chunks, written once and bucketed by chunk, so that no later
+   step sends them. Each 50-byte window elects the 16-byte gram in it with the
+   least hash; equal windows elect equal grams. A chunk sends its distinct grams,
+   and learns which are in two documents or more. Nothing that repeats is lost:
+   this is a filter without false negatives.
+2. A chunk cuts the stretches whose windows elected such a gram (at most 84 bytes
+   each) and sends the distinct ones, each with its least document id, to the
+   bucket of their gram. The distinct stretches of a bucket are one text on disk,
+   which is sorted by induction with disk-backed queues (``induced_sort``).
    Neighbouring suffixes with a common prefix of 50 bytes or more are one class,
-   and the least document id of a class decides for all its windows.
-3. Spans come back to their documents and are cut there.
+   and the least id of a class decides for all its windows. A gram that has only
+   one distinct stretch has nothing to sort.
+3. A bucket answers each chunk with a bit per window: does it start in a document
+   with a smaller id than the stretch's least here? Where a stretch stands in other
+   documents of the chunk, it goes as a whole. Spans come back to their documents
+   by (id, hash of text), and are cut there.
 
-Documents that are whole copies of one with a smaller id need no sorting: every
-window of theirs starts there too. No step gathers a document's partners: a
-gram's bucket holds each occurrence once, however many copies there are.
+However many documents have a passage, a bucket gets it once from each chunk.
 
 Defined results
 * null text: empty, 0 bytes, nothing removed; shorter than 50 bytes: nothing removed
 * overlaps count, and all strings are judged on the input
 * repeated rows have equal ids, so none is smaller: they don't remove each other
-* a null id is larger than any other
+* a null id is larger than any other (but the largest long, to which it is equal)
 * very long texts: one row's bytes and arrays are held
 * empty table: no rows; extra columns are ignored
+* grams, and stretches, are told apart by 64-bit hashes
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +43,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bytewise
-from .induced_sort import suffix_array
+from . import bytewise, native
+from .induced_sort import sorted_suffixes, text_file
 from .scratch import Scratch
 
 WINDOW = 50
 GRAM = 16
-#: Grams that a bucket holds about.
-BUCKET_GRAMS = 1_000_000
+#: Bytes of text of a chunk, of a gram bucket's share, and of a bucket of stretches, about.
+CHUNK_BYTES = 12 << 20
+GRAM_BYTES = 16 << 20
+STRETCH_BYTES = 20 << 20
+#: Bound of each structure of a suffix sort.
+SORT_MEMORY = 16 << 20
+#: Most buckets that the table of texts has.
+TABLE_BUCKETS = 20_000
 _NO_ID = (1 << 63) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -82,89 +94,86 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(b: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-    for i in np.flatnonzero(np.diff(cuts)).tolist():
-        yield i, order[cuts[i] : cuts[i + 1]]
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-_GRAMS = "bucket int, grams binary, docs binary"
+class _Chunk:
+    """The texts of a chunk, each (id, hash of text) once, with the windows' elections.
 
+    ``grams`` are the distinct elected grams in order of bucket, then hash; ``gram`` numbers those of the runs.
+    """
 
-def _grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and bucket: elected grams, and (id, tie, count) of the documents that they are of."""
-    for batch in batches:
-        ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        hashes, rows = [], []
-        for first, data, offsets in bytewise.blocks(batch.column(2)):
-            h, _, _, row = elected(data, offsets)
-            hashes.append(h)
-            rows.append(row + first)
-        if not hashes or not sum(map(len, hashes)):
-            continue
-        h, r = np.concatenate(hashes), np.concatenate(rows)
-        out = []
-        for i, at in _by_bucket(_bucket(h, buckets), buckets):
-            own, counts = np.unique(r[at], return_counts=True)  # rows rise along a batch
-            out.append((i, h[at].tobytes(), np.stack([*ids[:, own], counts]).astype("<i8").tobytes()))
-        yield _batch(out, ["bucket", "grams", "docs"], [pa.int32(), pa.binary(), pa.binary()])
+    def __init__(self, table: pa.Table, buckets: int):
+        ids, ties = table.column("doc_id").to_numpy(), table.column("tie").to_numpy()
+        one = np.sort(np.unique(np.stack([ids, ties]), axis=1, return_index=True)[1])
+        self.ids, self.ties = ids[one], ties[one]
+        texts = table.column("text").combine_chunks() if len(one) == len(ids) else table.column("text").take(pa.array(one)).combine_chunks()
+        hashes, first, last, rows, parts = [], [], [], [], []
+        at = 0
+        for r, data, offsets in bytewise.blocks(texts):
+            h, a, b, row = elected(data, offsets)
+            hashes.append(h), first.append(a + at), last.append(b + at), rows.append(row + r), parts.append(offsets[:-1] + at)
+            at += len(data)
+        self.texts = texts
+        self.h, self.first, self.last, self.row = (np.concatenate(x) for x in (hashes, first, last, rows))
+        self.start = np.concatenate(parts)
+        grams, gram = np.unique(self.h, return_inverse=True)
+        bucket = _bucket(grams, buckets)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.grams, self.bucket, self.gram = grams[order], bucket[order], number[gram]
 
+    def several(self) -> np.ndarray:
+        """Which grams two ids or more of the chunk have."""
+        low, high = np.full(len(self.grams), _NO_ID), np.full(len(self.grams), -_NO_ID - 1)
+        own = self.ids[self.row]
+        np.minimum.at(low, self.gram, own)
+        np.maximum.at(high, self.gram, own)
+        return low != high
 
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+    def data(self) -> np.ndarray:
+        return np.concatenate([d for _, d, _ in bytewise.blocks(self.texts, 1 << 30)])
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[a]), slice(int(a), int(b))
+
+
+_GRAMS = "chunk int, bucket int, grams binary, several binary"
+
+
+def _grams(table: pa.Table, buckets: int) -> pa.Table:
+    """For each bucket: the chunk's distinct grams, and a bit for those that are in two documents here."""
+    chunk = _Chunk(table, buckets)
+    several = chunk.several() if len(chunk.grams) else np.zeros(0, bool)
+    name = table.column("chunk")[0].as_py()
+    rows = [(name, k, chunk.grams[at].tobytes(), np.packbits(several[at]).tobytes()) for k, at in _parts(chunk.bucket)]
+    return bytewise.released(pa.Table.from_batches([_batch(rows, ["chunk", "bucket", "grams", "several"], [pa.int32()] * 2 + [pa.binary()] * 2)]))
+
+
+_REPORTS = "chunk int, bucket int, bits binary"
 
 
-_REPORTS = "doc_id long, tie long, grams binary"
+def _bits(column: pa.ChunkedArray, counts: list[int]) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(column, counts)]
 
 
 def _reported(table: pa.Table) -> pa.Table:
-    """Grams of two ids or more, for each of their documents."""
-    h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")])
-    docs = [np.frombuffer(x.as_py(), "<i8").reshape(3, -1) for x in table.column("docs")]
-    doc, tie = (np.concatenate([np.repeat(d[i], d[2]) for d in docs]) for i in (0, 1))
-    order = np.argsort(h, kind="stable")
-    h, doc, tie = h[order], doc[order], tie[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    n = np.diff(np.append(first, len(h)))
-    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(several, n)
-    h, doc, tie = h[keep], doc[keep], tie[keep]
-    order = np.lexsort((h, tie, doc))
-    h, doc, tie = h[order], doc[order], tie[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])) if len(h) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(h))
-    grams = [np.unique(h[a:b]).tobytes() for a, b in zip(cut.tolist(), ends.tolist())]
-    return pa.table({"doc_id": pa.array(doc[cut], pa.int64()), "tie": pa.array(tie[cut], pa.int64()), "grams": pa.array(grams, pa.binary())})
-
-
-_STRETCHES = "bucket int, bytes binary, fields binary"
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and bucket: stretches end to end, and (id, tie, start, length) of each."""
-    for batch in batches:
-        doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        reports = batch.column(3)
-        parts: dict[int, tuple[list, list]] = {}
-        for first, data, offsets in bytewise.blocks(batch.column(2)):
-            h, a, b, row = elected(data, offsets)
-            good = np.zeros(len(h), bool)
-            edge = np.searchsorted(row, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                for raw in reports[first + r].as_py() or ():
-                    grams, part = np.frombuffer(raw, np.uint64), h[edge[r] : edge[r + 1]]
-                    at = np.minimum(np.searchsorted(grams, part), len(grams) - 1)
-                    good[edge[r] : edge[r + 1]] |= grams[at] == part
-            h, a, b, row = h[good], a[good], b[good], row[good]
-            n = b + WINDOW - a
-            for i, at in _by_bucket(_bucket(h, buckets), buckets):
-                bytes_, fields = parts.setdefault(i, ([], []))
-                bytes_.append(_gather(data, a[at], n[at]).tobytes())
-                fields.append(np.stack([doc[first + row[at]], tie[first + row[at]], a[at] - offsets[row[at]], n[at]]))
-        rows = [(i, b"".join(x), np.concatenate(y, axis=1).astype("<i8").tobytes()) for i, (x, y) in parts.items()]
-        if rows:
-            yield _batch(rows, ["bucket", "bytes", "fields"], [pa.int32(), pa.binary(), pa.binary()])
+    """For each chunk of a bucket: a bit for each of its grams that two documents have."""
+    own = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")]
+    counts = [len(x) for x in own]
+    _, which, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    n[which[np.concatenate(_bits(table.column("several"), counts))]] = 2
+    again = np.split((n > 1)[which], np.cumsum(counts)[:-1])
+    bits = pa.array([np.packbits(x).tobytes() for x in again], pa.binary())
+    return bytewise.released(pa.table([table.column("chunk"), table.column("bucket"), bits], names=["chunk", "bucket", "bits"]))
+
+
+_SENT = "chunk int, bucket int, grams binary, lengths binary, least binary, bytes binary, docs binary, places binary"
 
 
 def _gather(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -172,135 +181,246 @@ def _gather(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return data[np.arange(int(n.sum())) + np.repeat(start - at, n)]
 
 
-def least_owners(text: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def _stretches(table: pa.Table, reports: pa.Table, buckets: int, sorts: int) -> pa.Table:
+    """A row per bucket with the chunk's distinct stretches, and one (bucket -1) with where they stand."""
+    names = [f.split()[0] for f in _SENT.split(", ")]
+    types = [pa.int32()] * 2 + [pa.binary()] * 6
+    if not table.num_rows or not reports.num_rows:
+        return pa.Table.from_batches([_batch([], names, types)])
+    chunk, name = _Chunk(table, buckets), table.column("chunk")[0].as_py()
+    order = np.argsort(reports.column("bucket").to_numpy())
+    sizes = np.bincount(chunk.bucket, minlength=buckets)
+    column = reports.column("bits").take(pa.array(order))
+    again = np.concatenate(_bits(column, sizes[sizes > 0].tolist()))
+    run = np.flatnonzero(again[chunk.gram])
+    gram, start, row = chunk.grams[chunk.gram[run]], chunk.first[run], chunk.row[run]
+    n = chunk.last[run] + WINDOW - start
+    data = chunk.data()
+    h = np.concatenate([np.zeros(0, np.uint64), *(_hashes(data, start[i : i + 8192], n[i : i + 8192]) for i in range(0, len(n), 8192))])
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    bucket = _bucket(gram[one] >> np.uint64(17), sorts)
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    one, bucket, which = one[order], bucket[order], number[which]
+    least = np.full(len(one), _NO_ID)
+    np.minimum.at(least, which, chunk.ids[row])
+    rows = []
+    for k, at in _parts(bucket):
+        r = one[at]
+        rows.append((name, k, gram[r].tobytes(), n[r].astype("<u2").tobytes(), least[at].astype("<i8").tobytes(), _gather(data, start[r], n[r]).tobytes(), None, None))
+    places = np.stack([row, start - chunk.start[row], which]).astype("<u4")
+    lengths = n[one].astype("<u2").tobytes()
+    rows.append((name, -1, None, lengths, least.astype("<i8").tobytes(), None, np.stack([chunk.ids, chunk.ties]).astype("<i8").tobytes(), places.tobytes()))
+    return bytewise.released(pa.Table.from_batches([_batch(rows, names, types)]))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    text, at = _gather(data, start, n), np.cumsum(n)
+    return bytewise.hash_runs(text, at - n, at)
+
+
+class _Bucket:
+    """Stretches of one bucket from all chunks; their bytes are on disk."""
+
+    def __init__(self) -> None:
+        self.file, self.size = tempfile.TemporaryFile(prefix="tessera-stretches-"), 0
+        self.chunks: list[int] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, chunk: int, grams: bytes, lengths: bytes, least: bytes, text: bytes) -> None:
+        n = np.frombuffer(lengths, "<u2").astype(np.int64)
+        data, ends = np.frombuffer(text, np.uint8), np.cumsum(n)
+        h = np.concatenate([bytewise.hash_runs(data, (ends - n)[i : i + 8192], ends[i : i + 8192]) for i in range(0, len(n), 8192)])
+        self.chunks.append(chunk)
+        self.parts.append((np.frombuffer(grams, np.uint64), h, n, np.frombuffer(least, "<i8"), self.size + ends - n))
+        self.file.write(text)
+        self.size += len(text)
+
+    def answers(self, memory: int) -> Iterator[tuple[int, int, bytes]]:
+        """For each chunk: how many windows its stretches have, and a bit for each that a document with a smaller id has."""
+        self.file.flush()
+        raw = np.memmap(self.file, np.uint8, "r", shape=(self.size,))
+        gram, h, n, least, start = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
+        order = np.lexsort((h, gram))
+        new = np.concatenate([[True], (gram[order[1:]] != gram[order[:-1]]) | (h[order[1:]] != h[order[:-1]])])
+        head = np.flatnonzero(new)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        one, owner = order[head], np.minimum.reduceat(least[order], head)
+        of_gram = np.cumsum(np.concatenate([[True], gram[one[1:]] != gram[one[:-1]]])) - 1
+        sort = np.flatnonzero(np.bincount(of_gram)[of_gram] > 1)  # the others' windows are in no other stretch
+        windows = n[one] - (WINDOW - 1)
+        base = np.full(len(one), -1)
+        base[sort] = np.cumsum(windows[sort]) - windows[sort]
+        by_window = least_owners(raw, start[one[sort]], n[one[sort]], owner[sort], memory) if len(sort) else np.zeros(0, np.int64)
+        at = 0
+        for chunk, (_, _, lengths, own, _) in zip(self.chunks, self.parts):
+            d = which[at : at + len(lengths)]
+            at += len(lengths)
+            k = lengths - (WINDOW - 1)
+            inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            found = np.repeat(owner[d], k)
+            sorted_ = np.repeat(base[d], k)
+            some = sorted_ >= 0
+            found[some] = by_window[(sorted_ + inner)[some]]
+            yield chunk, len(found), np.packbits(found < np.repeat(own, k)).tobytes()
+
+
+def _text(raw: np.ndarray, start: np.ndarray, n: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Stretches as symbols: bytes from 3 on, 2 after each, 1 after the last."""
+    for i in range(0, len(n), size):
+        m = n[i : i + size]
+        out = np.full(int(m.sum()) + len(m), 2, np.uint32)
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(np.cumsum(m + 1) - (m + 1), m) + inner] = _gather(raw, start[i : i + size], m).astype(np.uint32) + 3
+        yield out
+    yield np.ones(1, np.uint32)
+
+
+def least_owners(raw: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, memory: int = SORT_MEMORY) -> np.ndarray:
     """For each window of distinct stretches, in order, the least owner of an equal window."""
-    k = len(n)
-    joined = np.zeros(int(n.sum()) + k, np.uint16)  # stretches end in 1, the last in 0
     at = np.cumsum(n + 1) - (n + 1)
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    joined[np.repeat(at, n) + inner] = _gather(text, start, n).astype(np.uint16) + 2
-    joined[at + n] = 1
-    joined[-1] = 0
-    order = suffix_array(joined, 258)
-    windows = n - WINDOW + 1
-    place = np.repeat(at, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    number = np.full(len(joined), -1, np.int64)
-    number[place] = np.arange(len(place))
-    order = order[number[order] >= 0]
-    same = np.ones(max(len(order) - 1, 0), bool)
-    alive = np.arange(len(same))
-    for i in range(WINDOW):  # the common prefix of neighbours, as far as it matters
-        alive = alive[joined[order[alive] + i] == joined[order[alive + 1] + i]]
-    same[:] = False
-    same[alive] = True
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    by_place = np.repeat(owner, windows)
-    w = number[order]
-    least = np.minimum.reduceat(by_place[w], head)
-    out = np.empty(len(w), np.int64)
-    out[w] = np.repeat(least, np.diff(np.append(head, len(w))))
-    return out
+    windows = n - (WINDOW - 1)
+    base = np.cumsum(windows) - windows
+    class_of = np.memmap(tempfile.TemporaryFile(prefix="tessera-classes-"), np.int64, "w+", shape=(int(windows.sum()),))
+    best: list[np.ndarray] = []
+    known = 0
+    for pos, lcp in sorted_suffixes(text_file(_text(raw, start, n)), 259, WINDOW, memory):
+        j = np.searchsorted(at, pos, side="right") - 1
+        inner = pos - at[j]
+        good = inner < windows[j]
+        cut = lcp < WINDOW
+        if known == 0:
+            cut[0] = True
+        number = known - 1 + np.cumsum(cut)  # a suffix that is no window shares less than one with its neighbours
+        class_of[(base[j] + inner)[good]] = number[good]
+        own = np.where(good, owner[j], _NO_ID)
+        heads = np.flatnonzero(cut)
+        if not len(heads) or heads[0] > 0:
+            best[-1][-1] = min(best[-1][-1], own[: heads[0] if len(heads) else None].min())
+        if len(heads):
+            best.append(np.minimum.reduceat(own, heads))
+            known += len(heads)
+    return np.concatenate(best)[class_of]
+
+
+_ANSWERS = "chunk int, bucket int, windows int, bits binary"
+
+
+def _solve(batches: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket; each bucket's stretches go to disk, are sorted, and answered to their chunks."""
+    now, bucket = None, None
+
+    def done() -> pa.RecordBatch:
+        rows = [(chunk, now, n, bits) for chunk, n, bits in bucket.answers(memory)]
+        return bytewise.released(_batch(rows, ["chunk", "bucket", "windows", "bits"], [pa.int32()] * 3 + [pa.binary()]))
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chunk, k, *fields = (batch.column(c)[i].as_py() for c in range(6))
+            if k != now:
+                if bucket:
+                    yield done()
+                now, bucket = k, _Bucket()
+            bucket.add(chunk, *fields)
+    if bucket:
+        yield done()
 
 
 _SPANS = "doc_id long, tie long, spans binary"
 
 
-def _spans(table: pa.Table) -> pa.Table:
-    """Spans to remove for each document of a bucket."""
-    text = np.frombuffer(b"".join(x.as_py() for x in table.column("bytes")), np.uint8)
-    fields = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(4, -1) for x in table.column("fields")], axis=1)
-    doc, tie, pos, n = fields
-    start = np.cumsum(n) - n
-    h = bytewise.hash_runs(text, start, start + n)
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    owner = np.full(len(one), _NO_ID, np.int64)
-    np.minimum.at(owner, which, doc)
-    least = least_owners(text, start[one], n[one], owner)
-    windows = n[one] - WINDOW + 1
-    base = np.cumsum(windows) - windows
-    k = windows[which]
+def _spans(places: pa.Table, answers: pa.Table) -> pa.Table:
+    """What goes of each document of a chunk."""
+    empty = pa.table({"doc_id": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+    if not places.num_rows or not answers.num_rows:
+        return empty
+    get = lambda c, t: np.frombuffer(places.column(c)[0].as_py(), t)
+    n, least, (ids, ties) = get("lengths", "<u2").astype(np.int64), get("least", "<i8"), get("docs", "<i8").reshape(2, -1)
+    doc, pos, which = get("places", "<u4").reshape(3, -1).astype(np.int64)
+    windows = n - (WINDOW - 1)
+    order = np.argsort(answers.column("bucket").to_numpy())
+    counts = answers.column("windows").take(pa.array(order)).to_pylist()
+    bit, base = np.concatenate(_bits(answers.column("bits").take(pa.array(order)), counts)), np.cumsum(windows) - windows
+    whole = ids[doc] > least[which]
+    part = np.flatnonzero(~whole)
+    k = windows[which[part]]
     inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    occurrence = np.repeat(np.arange(len(which)), k)
-    gone = least[base[which][occurrence] + inner] < doc[occurrence]
-    occurrence, at = occurrence[gone], (pos[occurrence] + inner)[gone]
-    if not len(at):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
-    order = np.lexsort((at, tie[occurrence], doc[occurrence]))
-    d, t, at = doc[occurrence][order], tie[occurrence][order], at[order]
-    other = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-    first = np.flatnonzero(other | np.concatenate([[True], at[1:] > at[:-1] + WINDOW]))
-    last = np.append(first[1:], len(at)) - 1
-    spans = np.stack([at[first], at[last] + WINDOW], axis=1).astype("<i8")
+    hit = bit[np.repeat(base[which[part]], k) + inner]
+    d = np.concatenate([doc[whole], np.repeat(doc[part], k)[hit]])
+    a = np.concatenate([pos[whole], (np.repeat(pos[part], k) + inner)[hit]])
+    b = np.concatenate([(pos + n[which])[whole], (np.repeat(pos[part], k) + inner)[hit] + WINDOW])
+    if not len(d):
+        return empty
+    order = np.lexsort((b, a, d))
+    d, a, b = d[order], a[order], b[order]
+    other = np.concatenate([[True], d[1:] != d[:-1]])
+    shift = d * (int(b.max()) + 1)  # ends rise over documents
+    upto = np.maximum.accumulate(b + shift)
+    first = np.flatnonzero(other | np.concatenate([[True], (a + shift)[1:] > upto[:-1]]))
+    last = np.append(first[1:], len(d)) - 1
+    spans = np.stack([a[first], upto[last] - shift[last]], axis=1).astype("<i8")
     heads = np.flatnonzero(other[first])
-    ends = np.append(heads[1:], len(first))
-    out = [spans[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())]
-    return pa.table({"doc_id": pa.array(d[first][heads], pa.int64()), "tie": pa.array(t[first][heads], pa.int64()), "spans": pa.array(out, pa.binary())})
+    out = [spans[i:j].tobytes() for i, j in zip(heads.tolist(), np.append(heads[1:], len(first)).tolist())]
+    of = d[first][heads]
+    return bytewise.released(pa.table({"doc_id": pa.array(ids[of], pa.int64()), "tie": pa.array(ties[of], pa.int64()), "spans": pa.array(out, pa.binary())}))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")
-    )
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"), doc_id.isNull().alias("no_id"))
 
 
-def repeated_spans(docs: DataFrame, tmp: Scratch) -> DataFrame:
-    """``doc_id, tie, spans, copy``: what goes of each document that loses something; ``copy``: all of it."""
-    keyed = _keyed(docs)
-    long_ = keyed.where(F.octet_length("text") >= WINDOW)
+def repeated_spans(docs: DataFrame, tmp: Scratch, chunk_bytes: int = CHUNK_BYTES, stretch_bytes: int = STRETCH_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
+    """``doc_id, tie, spans``: what goes of each document that loses something."""
+    long_ = _keyed(docs).where(F.octet_length("text") >= WINDOW).select("doc_id", "tie", "text")
     total = long_.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(8, total // (18 * BUCKET_GRAMS))
-
-    ids = long_.select("doc_id", "tie", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").alias("n"))
-    least = ids.groupBy("tie", "more", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = tmp.table("copies", ids.join(least, ["tie", "more", "n"]).where("doc_id > first").select("doc_id", "tie").distinct())
+    chunks, buckets, sorts = max(8, total // chunk_bytes), max(8, total // GRAM_BYTES), max(8, total // stretch_bytes)
+    chunk = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks)).cast("int")
+    texts = tmp.bucketed("texts", long_.select(chunk.alias("chunk"), "*"), min(chunks, TABLE_BUCKETS), "chunk")
+    tmp.drop()
 
-    grams = long_.mapInArrow(lambda it: _grams(it, buckets), _GRAMS)
+    grams = texts.groupBy("chunk").applyInArrow(lambda t: _grams(t, buckets), _GRAMS)
     reports = tmp.table("reports", grams.groupBy("bucket").applyInArrow(_reported, _REPORTS))
     tmp.drop()
-    of_doc = reports.groupBy("doc_id", "tie").agg(F.collect_list("grams").alias("grams")).join(copies, ["doc_id", "tie"], "left_anti")
-    sending = long_.join(of_doc, ["doc_id", "tie"]).select("doc_id", "tie", "text", "grams")
-    stretches = sending.mapInArrow(lambda it: _stretches(it, buckets), _STRETCHES)
-    spans = tmp.table("spans", stretches.groupBy("bucket").applyInArrow(_spans, _SPANS))
-    tmp.drop("reports")
-    by_doc = spans.groupBy("doc_id", "tie").agg(F.collect_list("spans").alias("spans")).withColumn("copy", F.lit(False))
-    return by_doc.union(copies.select("doc_id", "tie", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("copy")))
-
-
-def _cut(text: bytes, spans: list[bytes] | None, copy: bool | None) -> tuple[bytes, int, int]:
-    """What is left of a text, and how many bytes and runs went."""
-    if copy:
-        return b"", len(text), 1
-    if spans is None or not len(spans):
+    sent = tmp.table("sent", texts.groupBy("chunk").cogroup(reports.groupBy("chunk")).applyInArrow(lambda t, r: _stretches(t, r, buckets, sorts), _SENT))
+    tmp.drop("texts", "reports")
+    dealt = sent.where("bucket >= 0").select("chunk", "bucket", "grams", "lengths", "least", "bytes").repartition(sorts, "bucket").sortWithinPartitions("bucket")
+    answers = tmp.table("answers", dealt.mapInArrow(lambda it: bytewise.tidy(_solve(it, memory)), _ANSWERS))
+    places = sent.where("bucket < 0").select("chunk", "lengths", "least", "docs", "places")
+    spans = tmp.table("spans", places.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_spans, _SPANS))
+    tmp.drop("sent", "answers")
+    return spans
+
+
+def _cut(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
+    """What is left of a text, and how many bytes and runs went; spans are apart and in order."""
+    if spans is None:
         return text, 0, 0
-    every = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spans])
-    depth = np.zeros(len(text) + 1, np.int64)
-    np.add.at(depth, every[:, 0], 1)
-    np.add.at(depth, every[:, 1], -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
-
-
-def _left(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """The keyed rows with ``spans`` and ``copy``."""
-    return keyed.join(spans, ["doc_id", "tie"], "left")
+    every = np.frombuffer(spans, "<i8").reshape(-1, 2)
+    edges = [0, *every.reshape(-1).tolist(), len(text)]
+    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return kept, int((every[:, 1] - every[:, 0]).sum()), len(every)
 
 
-def removal_report(docs: DataFrame) -> DataFrame:
+def removal_report(docs: DataFrame, **options: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every document."""
     tmp = Scratch(docs.sparkSession, "suffixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans, copy in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                kept, removed, n = _cut(text, spans, copy)
-                rows.append((None if doc_id == _NO_ID else doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
+            for i in range(batch.num_rows):
+                doc_id, no_id, text, spans = (batch.column(c)[i].as_py() for c in range(4))
+                kept, removed, n = _cut(text, spans)
+                rows.append((None if no_id else doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
             yield _batch(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()])
 
-    marked = _left(_keyed(docs), repeated_spans(docs, tmp)).select("doc_id", F.col("text").cast("binary").alias("text"), "spans", "copy")
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = _keyed(docs).join(repeated_spans(docs, tmp, **options), ["doc_id", "tie"], "left")
+    marked = marked.select("doc_id", "no_id", F.col("text").cast("binary").alias("text"), "spans")
+    return marked.mapInArrow(lambda it: bytewise.tidy(run(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -316,12 +436,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     joined = docs.alias("d").join(spans.alias("s"), on, "left")
 
     @F.pandas_udf("string")
-    def left(text, spans, copy):
-        got = [t if not c and s is None else _cut(t.encode(), s, c)[0].decode(errors="ignore") for t, s, c in zip(text, spans, copy)]
+    def left(text, spans):
+        got = [t if s is None else _cut(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(text, spans)]
         return type(text)(got, dtype=object)
 
-    cut = left(text, F.col("s.spans"), F.coalesce("s.copy", F.lit(False)))
+    cut, was_cut = left(text, F.col("s.spans")), native.fresh(docs, "cut")
     new: dict[str, Column] = {"text": F.when(F.col("s.tie").isNull(), F.col("d.text")).otherwise(cut)}
-    kept = joined.select(*[new.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns], F.col("s.tie").isNotNull().alias("cut_"))
-    kept = kept.where(~F.col("cut_") | (F.col("text") != "")).drop("cut_")
+    kept = joined.select(*[new.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns], F.col("s.tie").isNotNull().alias(was_cut))
+    kept = kept.where(~F.col(was_cut) | (F.col("text") != "")).drop(was_cut)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept

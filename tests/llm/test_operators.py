@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, fingerprints, jaccard_join, lattice_lm, licences, mixing, packing, page_text, quality_rules, suffix_dedup
-from tessera.llm.induced_sort import suffix_array
+from tessera.llm import chat_format, fingerprints, induced_sort, jaccard_join, lattice_lm, licences, mixing, packing, page_text, quality_rules, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, n_words string"
@@ -85,21 +84,33 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_report(none).count() == 0
 
 
-def test_suffix_arrays():
+def test_sorted_suffixes(monkeypatch):
+    """Any text, with a few bytes of memory, few names as symbols and short blocks: order and common prefixes as far as the limit."""
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        x = np.append(rng.integers(1, int(rng.integers(2, 5)), int(rng.integers(1, 150))), 0)
-        raw = bytes(x.astype(np.uint8))
-        assert suffix_array(x, 5, int(rng.integers(8, 2000))).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-
-
-def test_suffix_dedup(docs, none):
-    texts = sorted((i, (t or "").encode()) for i, t, _ in ROWS)
+    for k in range(150):
+        n = int(rng.integers(1, 150))
+        text = np.append(rng.integers(2, int(rng.integers(3, 7)), n), 1).astype(np.uint32)
+        text = np.append(np.tile(text[:-1], 3), np.uint32(1)) if k % 5 == 0 else text
+        monkeypatch.setattr(induced_sort, "BLOCK", int(rng.choice([4, 16, 1 << 14])))
+        monkeypatch.setattr(induced_sort, "NAMES", int(rng.choice([3, 4096])))
+        limit = int(rng.integers(3, 60))
+        got = list(induced_sort.sorted_suffixes(induced_sort.text_file([text]), 8, limit, int(rng.choice([64, 3000, 1 << 20]))))
+        pos, lcp = (np.concatenate(x).tolist() for x in zip(*got))
+        cut = [tuple(text[i : i + limit].tolist()) for i in pos]
+        assert sorted(pos) == list(range(len(text))) and cut == sorted(cut, reverse=True)
+        for a, b, same in zip(cut, cut[1:], lcp[1:]):
+            assert same == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def removed_by_force(rows):
+    """Per id and text: bytes, removed bytes, runs, and the digest of the rest; null ids come last."""
     first = {}
+    rank = lambda i: (1 << 63) - 1 if i is None else i
+    texts = sorted(((rank(i), (t or "").encode()) for i, t in rows), key=lambda r: r[0])
     for i, b in texts:
         for p in range(len(b) - 49):
             first.setdefault(b[p : p + 50], i)
-    got = {r.doc_id: tuple(r) for r in suffix_dedup.removal_report(docs).collect()}
+    out = []
     for i, b in texts:
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 49):
@@ -107,9 +118,38 @@ def test_suffix_dedup(docs, none):
                 gone[p : p + 50] = True
         runs = int(np.sum(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        assert got[i] == (i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_dedup(docs, none):
+    got = sorted(tuple(r) for r in suffix_dedup.removal_report(docs).collect())
+    assert got == removed_by_force([(i, t) for i, t, _ in ROWS])
     assert suffix_dedup.removal_report(none).count() == 0
-    assert suffix_dedup.without_repeats(docs).columns == docs.columns
+    kept = suffix_dedup.without_repeats(docs.withColumn("cut", F.lit(1)))
+    assert kept.columns == [*docs.columns, "cut"]
+
+
+def test_suffix_dedup_passages(spark):
+    """A line of all documents, near copies, repeated rows, null ids, with a few KB of memory and many chunks."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(map(chr, rng.integers(97, 102, int(rng.integers(1, 6)))))
+    line, base = " ".join(word() for _ in range(40)), [word() for _ in range(200)]
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(int(rng.integers(5, 90)))]
+        own[3:3] = [line] * (1 + i % 2)
+        if i % 3 == 0:
+            own = list(base)
+            own[int(rng.integers(200))] = word()
+            own[int(rng.integers(200))] = "é梦"
+        rows.append((None if i % 29 == 28 else 100 - i, " ".join(own)))
+    rows += [rows[4], rows[9], (7, rows[12][1]), (3, "ab" * 200), (4, "ab" * 150 + "a" * 120), (None, rows[5][1])]
+    want = removed_by_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({}, {"chunk_bytes": 1500, "stretch_bytes": 4000, "memory": 2000}):
+        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, *r[1:]) for r in suffix_dedup.removal_report(docs, **options).collect())
+        assert got == want
 
 
 def test_jaccard_join(docs, none):
