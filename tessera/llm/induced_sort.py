@@ -296,14 +296,14 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(t[k, a], t[k, b - (1 << k) + 1])
 
 
-def text_file(blocks: Iterable[np.ndarray]) -> np.ndarray:
-    """Symbols (1 and up; the last is the only 1) as an array over a temporary file."""
-    file, n = tempfile.TemporaryFile(prefix="tessera-text-"), 0
+def text_file(blocks: Iterable[np.ndarray], symbols: int) -> np.ndarray:
+    """Symbols (1 and up, below ``symbols``; the last is the only 1) as an array over a temporary file."""
+    file, n, kind = tempfile.TemporaryFile(prefix="tessera-text-"), 0, "<u2" if symbols <= 1 << 16 else "<u4"
     for b in blocks:
-        file.write(np.ascontiguousarray(b, "<u4").data)
+        file.write(np.ascontiguousarray(b, kind).data)
         n += len(b)
     file.flush()
-    return np.memmap(file, "<u4", "r", shape=(n,))
+    return np.memmap(file, kind, "r", shape=(n,))
 
 
 class _Level:
@@ -335,7 +335,7 @@ class _Level:
         while len(alive):
             at = out[alive]
             alive = alive[self.text[a[alive] + at] == self.text[b[alive] + at]]
-            out[alive] += 1
+            out[alive] += 1  # the end differs from all
             alive = alive[out[alive] < self.limit]
         return out
 
@@ -455,7 +455,7 @@ class _Level:
         while True:
             most = max(self.limit, -(-self.limit // 2) * digits)  # a name and the next begin two symbols apart at least
             base = names if digits == 1 else int(np.ceil(names ** (1 / digits))) + 1
-            below = _Level(text_file(self._written(written, digits, base)), base + 2, most, self.memory, True)
+            below = _Level(text_file(self._written(written, digits, base), base + 2), base + 2, most, self.memory, True)
             below.stars()
             if digits == 1 or below.places.n <= 0.9 * written.n:
                 return below, digits

@@ -52,9 +52,9 @@ GRAM = 16
 #: Bytes of text of a chunk, of a gram bucket's share, and of a bucket of stretches, about.
 CHUNK_BYTES = 12 << 20
 GRAM_BYTES = 16 << 20
-STRETCH_BYTES = 20 << 20
+STRETCH_BYTES = 8 << 20
 #: Bound of each structure of a suffix sort.
-SORT_MEMORY = 16 << 20
+SORT_MEMORY = 40 << 20
 #: Most buckets that the table of texts has.
 TABLE_BUCKETS = 20_000
 _NO_ID = (1 << 63) - 1
@@ -286,7 +286,7 @@ def least_owners(raw: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.nd
     class_of = np.memmap(tempfile.TemporaryFile(prefix="tessera-classes-"), np.int64, "w+", shape=(int(windows.sum()),))
     best: list[np.ndarray] = []
     known = 0
-    for pos, lcp in sorted_suffixes(text_file(_text(raw, start, n)), 259, WINDOW, memory):
+    for pos, lcp in sorted_suffixes(text_file(_text(raw, start, n), 259), 259, WINDOW, memory):
         j = np.searchsorted(at, pos, side="right") - 1
         inner = pos - at[j]
         good = inner < windows[j]

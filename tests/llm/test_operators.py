@@ -94,7 +94,7 @@ def test_sorted_suffixes(monkeypatch):
         monkeypatch.setattr(induced_sort, "BLOCK", int(rng.choice([4, 16, 1 << 14])))
         monkeypatch.setattr(induced_sort, "NAMES", int(rng.choice([3, 4096])))
         limit = int(rng.integers(3, 60))
-        got = list(induced_sort.sorted_suffixes(induced_sort.text_file([text]), 8, limit, int(rng.choice([64, 3000, 1 << 20]))))
+        got = list(induced_sort.sorted_suffixes(induced_sort.text_file([text], 8), 8, limit, int(rng.choice([64, 3000, 1 << 20]))))
         pos, lcp = (np.concatenate(x).tolist() for x in zip(*got))
         cut = [tuple(text[i : i + limit].tolist()) for i in pos]
         assert sorted(pos) == list(range(len(text))) and cut == sorted(cut, reverse=True)
