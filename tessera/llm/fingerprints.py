@@ -10,7 +10,8 @@ The subsets have different densities (an eighth down to 1/128 of the lexicon), s
 that texts from a few words to many thousands of words differ by degrees.
 
 The lexicon is a bit map over 2**24 term numbers, so what tasks need of it is
-2 MB at any corpus size; its frequencies are counted over every document.
+2 MB at any corpus size; its frequencies are counted over every document. Terms
+that share a number are one term of the lexicon, and their frequencies add up.
 
 Defined results
 * null or empty text and texts without a lexicon term, or with terms that lie in
@@ -116,7 +117,9 @@ def deal(docs: DataFrame, tmp: Scratch, rows: int = 1000) -> DataFrame:
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high = (low, high) if low is not None else (0, 0)
     width = max(1, (high - low + 1) * rows // max(n, 1))
-    at = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)))
+    wide = lambda x: F.lit(str(x)).cast("decimal(38,0)")  # noqa: E731  ids may span more than a long holds
+    above = F.col("doc_id").cast("decimal(37,0)") - wide(low)
+    at = docs.withColumn("range", F.coalesce(F.floor(above / wide(width)).cast("long"), F.lit(-1).cast("long")))
     key = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie").alias("key")
     first = tmp.table("ranges", at.groupBy("range").agg(F.min(key).alias("first")))
     order = Window.orderBy("range")

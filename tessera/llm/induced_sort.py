@@ -207,8 +207,8 @@ class BucketQueue:
         return None if not out else out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def _lexical(rows: np.ndarray, keys: int) -> np.ndarray:
-    """The order of rows by their first columns; later columns are looked at where earlier ones tie."""
+def _lexical(rows: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their first columns, and which tie with the one before; later columns are looked at where earlier ones tie."""
     order = np.argsort(np.ascontiguousarray(rows[:, 0]))
     tie = np.concatenate([[False], rows[order[1:], 0] == rows[order[:-1], 0]])
     for c in range(1, keys):
@@ -222,7 +222,7 @@ def _lexical(rows: np.ndarray, keys: int) -> np.ndarray:
         x = x[by]
         same = np.concatenate([[False], (group[1:] == group[:-1]) & (x[1:] == x[:-1])])
         tie[some] = same
-    return order
+    return order, tie
 
 
 class Sorter:
@@ -244,7 +244,7 @@ class Sorter:
     def _sorted(self) -> np.ndarray:
         rows = np.concatenate(self.rows)
         self.rows, self.held = [], 0
-        return rows[_lexical(rows, self.keys)]
+        return rows[_lexical(rows, self.keys)[0]]
 
     def blocks(self) -> Iterator[np.ndarray]:
         if not self.runs:
@@ -271,7 +271,23 @@ class Sorter:
                     end = min(at[i] + size, self.runs[i].rows)
                     heads[i], at[i] = self.runs[i].read(at[i], end), end
             rows = np.concatenate(taken)
-            yield rows[_lexical(rows, self.keys)]
+            yield rows[_lexical(rows, self.keys)[0]]
+
+    def ranked(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The column after the keys in order, each with the number of different keys up to there, from 0."""
+        if not self.runs and self.rows:
+            rows = self.rows[0] if len(self.rows) == 1 else np.concatenate(self.rows)
+            self.rows, self.held = [], 0
+            order, tie = _lexical(rows, self.keys)
+            yield rows[order, self.keys], np.cumsum(~tie) - 1
+            return
+        last, number = None, -1
+        for rows in self.blocks():
+            keys = rows[:, : self.keys]
+            new = np.concatenate([[last is None or bool((keys[0] != last).any())], (keys[1:] != keys[:-1]).any(axis=1)])
+            numbers = number + np.cumsum(new)
+            last, number = keys[-1], int(numbers[-1])
+            yield rows[:, self.keys], numbers
 
     def _upto(self, rows: np.ndarray, bound: tuple) -> int:
         """How many of some sorted rows are not above a bound."""
@@ -373,7 +389,6 @@ class _Level:
         """A sorter of (star, name), by star, and how many names there are; if names tie for good, their ranks instead."""
         words, per, inf = -(-(self.limit if self.below else self.longest) // self.per), self.per, int(self.mask)
         by_key, first = Sorter(words, self.memory), 0
-        following: np.ndarray | None = None
         for pos, after in self._in_order():
             n = np.minimum(self.n - pos, self.limit) if self.below else after - pos + 1
             rows = np.zeros((len(pos), words + 1), np.uint64)
@@ -384,11 +399,9 @@ class _Level:
             first += len(pos)
             by_key.add(rows)
         by_star, name = Sorter(1, self.memory), -1
-        for rows in by_key.blocks():
-            new = np.concatenate([[following is None or bool((rows[0, :words] != following).any())], (rows[1:, :words] != rows[:-1, :words]).any(axis=1)])
-            names = name + np.cumsum(new)
-            following, name = rows[-1, :words], int(names[-1])
-            by_star.add(np.stack([rows[:, words], names.astype(np.uint64)], axis=1))
+        for star, names in by_key.ranked():
+            name = int(names[-1])
+            by_star.add(np.stack([star, names.astype(np.uint64)], axis=1))
         return by_star, name + 1
 
     def _in_order(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -28,7 +28,8 @@ candidate is dropped; the sketch only changes an order.
 Defined results
 * null or empty text, or no words: no shingles, ``component_id`` its own id
 * fewer than five words: the whole sequence is the one shingle
-* repeated rows: rows of one id count as one document, each row is returned
+* repeated rows: each row is returned; rows of one id are in one component, also
+  if their texts differ: what any of them links to, the id links to
 * a null id: a stand-in from the text's hash, 2**62 or more, so null ids of
   unlike texts are documents of their own; ``doc_id`` stays null, and
   ``component_id`` is a stand-in only if no smaller id is in the group
@@ -58,7 +59,9 @@ SKETCH_BITS = 20
 _SKETCH_PARTS = 64
 #: Most documents of a chunk that is opened at once, and prefix shingles a bucket holds about.
 CHUNK = 64
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 500_000
+#: Shingles of sets whose prefixes are sent together, about.
+POSTED = 2_000_000
 #: Least stand-in for a null id.
 _NO_ID = 1 << 62
 
@@ -149,9 +152,9 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: in
     """For each batch and bucket: prefix shingles, and the documents that they are of."""
     shift = np.uint64(64 - SKETCH_BITS)
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for part in _sets_by(batches, POSTED):
         ids, sizes, shingles, owners, rooms = [], [], [], [], []
-        for doc_id, s in _sets(batch):
+        for doc_id, s in part:
             if not len(s) or (d := _digest(s)) in seen:
                 continue
             seen.add(d)
@@ -162,7 +165,7 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: in
             rooms.append(len(s) - np.arange(k))
             ids.append(doc_id)
             sizes.append(len(s))
-        if len(seen) > 200_000:
+        if len(seen) > 50_000:
             seen.clear()
         if not ids:
             continue
@@ -178,6 +181,19 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: in
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=["bucket", "shingles", "rooms", "docs", "sizes"])
 
 
+def _sets_by(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Sets in lists of about ``most`` shingles; a larger set is a list of its own."""
+    part, n = [], 0
+    for batch in batches:
+        for doc_id, s in _sets(batch):
+            part.append((doc_id, s))
+            n += len(s)
+            if n >= most:
+                yield part
+                part, n = [], 0
+    yield part
+
+
 def _owners(o: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
     """Distinct owners in order with how many shingles each has here, and their set sizes."""
     first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
@@ -223,7 +239,7 @@ def _lists(table: pa.Table) -> pa.Table:
         room = np.maximum.reduceat(room, one)
         name, reps, d, n = name[one], reps[one], d[one], n[one]
     cols = [name.astype(np.int64), d, n, room, reps]
-    return pa.Table.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["list", "doc_id", "n", "room", "k"])
+    return bytewise.released(pa.Table.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["list", "doc_id", "n", "room", "k"]))
 
 
 def may_link(n: Column, room: Column, least_n: Column, other_room: Column) -> Column:
@@ -293,7 +309,7 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "jaccard")
     key = document_key(F.col("doc_id"), F.col("text")).alias("doc_id")
     texts = docs.select(key, F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").isNull().alias("no_id"))
-    found = tmp.table("profile", texts.mapInArrow(_profile, _PROFILE))
+    found = tmp.table("profile", texts.mapInArrow(lambda it: bytewise.tidy(_profile(it)), _PROFILE))
     profile = found.where("part < 0").select("doc_id", "no_id", "n", "d1", "d2")
     merged = found.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
     parts = {r["part"]: np.frombuffer(r["counts"], "<u8") for r in merged.collect()}  # of fixed size
@@ -303,7 +319,7 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(sketch.astype(np.uint32 if sketch.max(initial=0) < 2**32 else np.uint64))
 
     postings = texts.where("text is not null").select("doc_id", "text").mapInArrow(
-        lambda it: _postings(it, order.value, buckets), "bucket int, shingles binary, rooms binary, docs binary, sizes binary"
+        lambda it: bytewise.tidy(_postings(it, order.value, buckets)), "bucket int, shingles binary, rooms binary, docs binary, sizes binary"
     )
     by_bucket = postings.groupBy("bucket").applyInArrow(_lists, _LISTS)
     lists = tmp.table("lists", by_bucket.groupBy("list", "doc_id", "n", "k").agg(F.max("room").alias("room")))
@@ -322,7 +338,7 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     stars = tmp.table("stars", stars.join(weight, "leader").select("leader", "doc_id", salt.alias("salt")))
     many = lists.where("k > 2").select("doc_id")
     asked_for = stars.select(F.col("leader").alias("doc_id")).union(stars.select("doc_id")).union(many).distinct()
-    wanted = tmp.table("wanted", texts.select("doc_id", "text").join(asked_for.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = tmp.table("wanted", texts.select("doc_id", "text").join(asked_for.hint("merge"), "doc_id", "left_semi").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"]).drop("tie"))
 
     chunk = F.struct("leader", "salt").alias("chunk")
     first = tmp.table(

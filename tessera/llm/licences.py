@@ -8,8 +8,8 @@ texts count with and without their usual titles and closing instructions.
 
 Defined results
 * null or empty text, or nothing left of it: no licence
-* repeated rows are judged each by itself; two names for one text can't be: the
-  known licences have different digests
+* repeated rows are judged each by itself; no text of the table below has two
+  names (a test holds that); of a caller's own, the first name by code point counts
 * very long texts: one row at a time, in time by its length
 * empty table: no rows; extra columns are ignored
 
@@ -127,10 +127,11 @@ def canonical(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     kept = F.regexp_replace(low, r"(?m)^[^\p{L}\n]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©|<)|©|\(c\))[^\n]*$", " ")
     plain = F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")
-    words = F.concat(F.lit(" "), F.btrim(plain), F.lit(" "))
+    # two spaces between words, so that each has its own
+    words = F.concat(F.lit(" "), F.replace(F.btrim(plain), F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, one in SPELLINGS.items():
-        words = F.replace(words, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.btrim(words)
+        words = F.replace(words, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {one} "))
+    return F.regexp_replace(F.btrim(words), " +", " ")
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -142,4 +143,4 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, license`` of every document; ``license`` is null if the text is none."""
     known = known_digests(docs.sparkSession) if known is None else known
     digests = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return digests.join(F.broadcast(known.dropDuplicates(["digest"])), "digest", "left").select("doc_id", "digest", "license")
+    return digests.join(F.broadcast(known.groupBy("digest").agg(F.min("license").alias("license"))), "digest", "left").select("doc_id", "digest", "license")

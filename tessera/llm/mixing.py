@@ -95,6 +95,9 @@ def cut(goals: DataFrame, block: int) -> DataFrame:
 def seats(goals: DataFrame, n_seats: int, shards: int) -> DataFrame:
     """``source, seat, shard``: who has each of the seats, by the highest quotients of ``want``.
 
+    ``n_seats`` is the sum of all wants, each rounded: the divisor is 1 then, and
+    every source gets its rounded want.
+
     A quotient's rank over all sources is its rank inside a narrow band of
     quotients plus all seats of the bands before, so no task sorts every seat.
     """
@@ -198,7 +201,8 @@ def repeat_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     wanted = F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int")
     times = chosen.where("taken > 0").groupBy("doc_id", "key").agg(wanted.alias("times"))
     n = native.fresh(docs, "times")
-    picked = times.select(F.col("doc_id").alias("taken_id"), F.col("key").alias("taken_key"), F.col("times").alias(n))
-    same = [docs["doc_id"].eqNullSafe(picked["taken_id"]), _row_key(seed, docs["doc_id"], docs["text"]) == picked["taken_key"]]
-    copies = docs.join(picked, same).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), picked[n])))
-    return copies.select(*docs.columns)
+    picked = times.select(F.col("doc_id").alias("taken_id"), F.col("key").alias("taken_key"), "times").alias("p")
+    same = [F.col("d.doc_id").eqNullSafe(F.col("p.taken_id")), _row_key(seed, F.col("d.doc_id"), F.col("d.text")) == F.col("p.taken_key")]
+    joined = docs.alias("d").join(picked, same)
+    copies = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("p.times"))).alias(n))
+    return copies.drop(n)

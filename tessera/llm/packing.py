@@ -14,7 +14,7 @@ Defined results
 * extra columns are ignored
 
 Shards bound what one task packs: every remainder goes to a shard by a hash of
-its document id, so a hot source does not matter, and a shard leaves at most a
+its document id and ids, so neither a hot source nor null ids matter, and a shard leaves at most a
 few part-filled sequences.
 """
 
@@ -53,18 +53,19 @@ class WordEncoder:
     The library's ids of a text are the ids of its words in order, so a word is
     given to the library once and its ids are kept under its 64-bit hash; the
     memo is emptied when it holds ``_MEMO_WORDS`` words. Rows with an apostrophe
-    (contractions) or characters outside Latin-1 (other rules of case and
-    composition) go to the library as a whole.
+    (contractions), characters outside Latin-1 (other rules of case and
+    composition) or ``<|``, which special tokens begin with, go to the library as
+    a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._forget()
+        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # words of the memo are never special
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index = bytewise.HashIndex()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 12, np.int64)
@@ -85,7 +86,7 @@ class WordEncoder:
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row of a block of UTF-8 bytes."""
-        odd = np.flatnonzero((data >= 0xC4) | (data == 39))
+        odd = np.flatnonzero((data >= 0xC4) | (data == 39) | ((data == 60) & (np.append(data[1:], 0) == 124)))
         slow = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
         low, kind = _lower_latin(data), _KIND[data]
         wide = np.flatnonzero((data == 0xC2) | (data == 0xC3))
@@ -102,7 +103,7 @@ class WordEncoder:
         k = self.index.find(h)
         if len(new := np.flatnonzero(k < 0)):
             if self.index.size > _MEMO_WORDS:
-                self._forget()
+                self.forget()
                 new = np.arange(len(h))
             fresh, first = np.unique(h[new], return_index=True)
             raw = low.tobytes()
@@ -119,7 +120,7 @@ class WordEncoder:
         out = [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for r in slow.tolist():
             text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
-            out[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            out[r] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -185,6 +186,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
                         out[k].append(v)
             types = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+    encoder(path).forget()
+    bytewise.released(None)
 
 
 class RoomTree:
@@ -246,6 +249,7 @@ def _pack_shard(table: pa.Table, capacity: int) -> pa.Table:
     sequence, offset = best_fit_decreasing(lengths, capacity)
     shard = np.int64(table.column("shard")[0].as_py())
     out = table.drop_columns(["shard"])
+    out = bytewise.released(out)
     return out.append_column("sequence_id", pa.array(sequence + (shard << 32))).append_column("offset", pa.array(offset))
 
 
@@ -262,6 +266,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     pieces = texts.mapInArrow(lambda it: _pieces(it, path, capacity, end_id, with_ids), _PIECES)
     if not with_ids:
         pieces = pieces.drop("ids")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("long"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("shard").applyInArrow(lambda t: _pack_shard(t, capacity), f"{schema}, sequence_id long, offset long")

@@ -43,19 +43,23 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the HTML standard and of common page furniture.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object"
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select"
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_FURNITURE = frozenset("nav footer aside form menu dialog button label input fieldset head search".split())
+_FURNITURE = frozenset("nav footer aside form menu dialog button input fieldset head search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login form search pagination pager widget toolbar skip".split())
+#: Words beside these that leave a name what it is.
+_NEUTRAL = frozenset("main site page global local left right top bottom upper lower primary secondary inner outer list area section box block container wrapper wrap holder content body item items link links button buttons bar panel group row col column zone slot unit area text title form field icon icons count post posts story stories article articles entry small large mini fixed sticky floating mobile desktop js id".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_SPLIT = re.compile(r"[\s_-]+")
+_SPLIT = re.compile(r"[_-]+")
 _SPACE = re.compile(r"\s+")
+#: A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 
 #: Rows of other html that a range is sent from each side, and sampled keys for each range.
 GUESTS = 3
@@ -65,6 +69,12 @@ SAMPLED = 8
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
 
 
+def _marks(name: str) -> bool:
+    """Whether a class or id names furniture: by one word at least, and by no word that tells of something else."""
+    words = [w for w in _SPLIT.split(name) if w]
+    return not _MARKS.isdisjoint(words) and all(w in _MARKS or w in _NEUTRAL or w.isdigit() for w in words)
+
+
 def _is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in _FURNITURE or (tag == "header" and not inside_article):
         return True
@@ -75,7 +85,7 @@ def _is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
         if name.lower() == "role":
             if value in _ROLES:
                 return True
-        elif not _MARKS.isdisjoint(_SPLIT.split(value)):
+        elif any(_marks(one) for one in value.split()):
             return not (inside_article and tag[0] == "h" and tag[1:].isdigit())
     return bool(_HIDDEN.search(attributes))
 
@@ -136,7 +146,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         stack.append((tag, place, article))
         place, article = inner, within
     if at < len(page):
-        parts.append(page[at:].partition("<")[0] if page.rfind("<") > page.rfind(">") else page[at:])
+        parts.append(_CUT_OFF.sub("", page[at:]))
     flush()
     return out
 

@@ -8,7 +8,8 @@ Defined results
 * null text: no words, every figure 0, ``base_failed`` true
 * empty text: the same
 * blank lines are never judged and stay
-* repeated rows: each row is judged by itself; no row depends on another
+* repeated rows and ties: each row is judged by itself; no row depends on another
+* empty table: no rows
 * very long texts: one row's arrays grow with that row alone; three-word windows
   are compared by 64-bit hashes that are sorted, so the time is n log n
 * extra columns pass through ``clean_documents`` whatever their names are
@@ -72,7 +73,7 @@ class LineRules:
 
 
 def _line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line that has a word breaks a rule; its words are counted by its spaces."""
+    """Whether a line that has a word breaks a rule; its words are counted by its spaces where these are single."""
 
     def judged(n: Column) -> Column:
         punctuation = (
@@ -87,7 +88,9 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
         furniture = native.let(F.lower(line), lambda x: _has_any(x, rules.furniture))
         return punctuation | navigation | ((n <= rules.furniture_words) & furniture)
 
-    return native.let(native.count_of(F.btrim(line), " ") + 1, judged)
+    other = _has_any(line, ("  ", "\t", "\x0b", "\x0c", "\r"))
+    n = F.when(other, F.size(native.words(line)).cast("long")).otherwise(native.count_of(F.btrim(line), " ") + 1)
+    return native.let(n, judged)
 
 
 def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -36,7 +36,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{_CONTROL}'), (-1L, 1L, 'assistant', '{_CONTROL}') AS t(conv_id, turn, role, text)")
     return chat_format.digests(chat_format.format_chats(turns.union(probe)))
 
 
@@ -110,10 +110,10 @@ FROM documents d JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) US
 
 def _canonical_sql(text: str) -> str:
     kept = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\n]*(?:copyright\b[^\n]*(?:\d{{4}}|\(c\)|©|<)|©|\(c\))[^\n]*$', ' ', 'g')"
-    words = rf"' ' || trim(regexp_replace({kept}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    words = rf"' ' || regexp_replace(trim(regexp_replace({kept}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ', '  ', 'g') || ' '"
     for other, one in licences.SPELLINGS.items():
-        words = f"replace({words}, ' {other} ', ' {one} ')"
-    return f"sha256(trim({words}))"
+        words = f"replace({words}, ' {other.replace(' ', '  ')} ', ' {one} ')"
+    return f"sha256(regexp_replace(trim({words}), ' +', ' ', 'g'))"
 
 
 def _licences_sql() -> str:
@@ -125,5 +125,37 @@ SELECT doc_id, digest, license FROM d LEFT JOIN known USING (digest)
 """
 
 
+def _quality_sql() -> str:
+    rules = quality_rules.LineRules()
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    n_of = lambda text, signs: f"(length({text}) - length(translate({text}, '{signs}', '')))"
+    bars = n_of("line", rules.separators)
+    furniture = " OR ".join(f"contains(lower(line), '{x}')" for x in rules.furniture)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws FROM d),
+l AS (
+  SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) AS n,
+    length(translate(line, {blanks}, '')) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), judged AS (
+  SELECT *, {n_of("line", rules.symbols)} > n * {rules.symbols_per_word} OR (n > 3 AND {n_of("line", "!?")} > n * {rules.marks_per_word})
+    OR (n >= {rules.run_on_words} AND {n_of("line", ".!?,;:")} = 0)
+    OR ({bars} >= {rules.least_separators} AND n - {bars} <= ({bars} + 1) * {rules.words_per_item})
+    OR (n <= {rules.furniture_words} AND ({furniture})) AS fails FROM l WHERE n > 0
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars FROM judged GROUP BY doc_id
+), tri AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS again FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE again > 1) GROUP BY doc_id
+), figures AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(translate(t, {blanks}, ''))::BIGINT AS word_chars, {n_of("t", "#*$%&|<>")}::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)
+), failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND word_chars - kept_chars <= word_chars * {rules.most_lost} AS kept FROM failed
+"""
+
+
 #: For the others SQL has no tokenizers, bytes of strings, hash or segmentations of the method; tests/llm has brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": _CHATS_SQL, "op8_jaccard_join": _JACCARD_SQL, "op9_licences": _licences_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": _CHATS_SQL, "op8_jaccard_join": _JACCARD_SQL, "op9_licences": _licences_sql(), "op10_quality_rules": _quality_sql()}

@@ -41,7 +41,10 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_vocabulary())
-    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in ROWS}
+    marked = [(90, "a <|startoftext|> b<|endoftext|>"), (91, "a <| b |> it <|x|>"), (92, "<|endoftext|>" * 4100)]
+    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for i, t in [*((i, t) for i, t, _ in ROWS), *marked]}
+    assert 49406 in ids[90] and 49407 in ids[90]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(marked, "doc_id long, text string"))
     rows = packing.pack(docs, shard_pieces=4).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -53,7 +56,7 @@ def test_packing(docs, none):
         assert [s for s, _ in sorted(ps)] == [0, *np.cumsum([n for _, n in sorted(ps)])[:-1]] and sum(n for _, n in ps) == len(ids[i])
     for ps in sequences.values():
         assert [o for o, _ in sorted(ps)] == [0, *np.cumsum([n for _, n in sorted(ps)])[:-1]] and sum(n for _, n in ps) <= 4096
-    assert len(pieces) == len(ROWS) and packing.pack(none).count() == 0
+    assert len(pieces) == len(ROWS) + 3 and packing.pack(none).count() == 0
 
 
 def test_best_fit_equals_a_plain_search():
@@ -195,6 +198,14 @@ def test_null_ids(spark):
     assert {r.doc_id for r in out.collect()} == {1, None}
 
 
+def test_jaccard_repeated_ids(spark):
+    """An id with two texts links to what either links to."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (3, b + " tail"), (4, "other words are here now")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_jaccard_chains(spark):
     """Links that only chains of near copies give, with lists in several groups."""
     rng, rows = np.random.default_rng(5), []
@@ -305,6 +316,8 @@ def test_fingerprints(docs, none):
     assert len({r.fingerprint for r in got.values()}) == len(few)
     assert all(got[2 * k].fingerprint == got[2 * k + 1].fingerprint and got[2 * k].near_next == 1.0 for k in range(len(few)))
     assert fingerprints.edit_report(none).count() == 0
+    far = none.sparkSession.createDataFrame([(-(1 << 63), "a b"), (0, "c d"), ((1 << 63) - 1, "e f"), (None, "g h"), (0, "c d")], "doc_id long, text string")
+    assert fingerprints.edit_report(far).count() == 5
 
 
 def test_chats(spark):
@@ -357,6 +370,18 @@ def test_mixing(docs, none):
     assert mixing.mix(none).documents.count() == 0
 
 
+def test_mixing_many_sources(spark):
+    """Seats are those of the highest quotients, however uneven the targets; names that clash stay."""
+    rows = [(i, "w " * n, f"s{i:03}", i) for i, n in enumerate([5000, *[40] * 125])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken_id long")
+    goals = spark.createDataFrame([(f"s{i:03}", 50.3 if i == 0 else 0.4 + i / 600) for i in range(126)], "source string, want double")
+    n_seats = sum(math.floor(r.want + 0.5) for r in goals.collect())
+    won = collections.Counter(r.source for r in mixing.seats(goals, n_seats, 4).collect())
+    quotients = sorted(((w / (2 * k + 1), s) for s, w in ((r.source, r.want) for r in goals.collect()) for k in range(70)), key=lambda x: (-x[0], x[1]))
+    assert won == collections.Counter(s for _, s in quotients[:n_seats]) and 50 < n_seats < 175
+    assert mixing.repeat_documents(docs).columns == docs.columns
+
+
 def test_mixing_small_sources(spark):
     """Sources of less than a block come near their targets, and into the mixed corpus, whatever the block."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(1000)), "big") for i in range(300)]
@@ -382,6 +407,16 @@ def test_pages(spark):
     assert page_text.shared_lines(list("abcbdab"), list("bdcaba")).__len__() == 4
 
 
+def test_page_lines():
+    """Signs that are no tags stay, names that hold a word of furniture beside others are none, quotes may be open."""
+    lines = lambda page: [t for t, p in page_text.lines_of(page) if p != page_text.FURNITURE]
+    assert lines("<p>3 < 4") == ["3 < 4"] and lines("<p>a<b") == ["a"] and lines("<p>a <br") == ["a"]
+    kept = '<article><div class="share-price">42</div><section class="notice-of-law">Law</section><p data=it\'s>that\'s</p><label>L</label><math>x</math>'
+    assert lines(kept) == ["42", "Law", "that's", "Lx"]
+    gone = '<article><div class="share-buttons">s</div><div class="x cookie-notice">c</div><div id="comments_area">d</div><div class="main-nav">n</div><p>T'
+    assert lines(gone) == ["T"]
+
+
 def test_pages_copies_and_ranges(spark):
     """Copies keep their text, ranges of any size give the same rows, and the difference decides outside the article."""
     bare = "<body><p>Menu line</p><p>{}</p><p>Imprint</p>"
@@ -399,6 +434,12 @@ def test_pages_copies_and_ranges(spark):
         assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, n
 
 
+def test_licence_spellings(spark):
+    rows = [(1, " licence licence per cent per  cent whilst"), (2, "License. LICENSE; percent percent - while")]
+    a, b = (r[0] for r in spark.createDataFrame(rows, "i int, t string").orderBy("i").select(licences.canonical(F.col("t"))).collect())
+    assert a == b == "license license percent percent while"
+
+
 def test_licences(spark):
     mit = dict(licences.KNOWN[:1])["MIT"]
     rows = [(1, "Copyright (c) 2024 Some One\n\n" + mit.replace("sublicense", "SUBLICENCE").replace(",", " ;")), (2, mit + " more"), (3, None), (4, "released under the MIT licence")]
