@@ -4,6 +4,13 @@ Each stage reads what the one before kept. All but the last return the columns
 of documents. The mix may take a document up to three times: it then has a row
 for each taking, so that the packer sees its words as often as they count; a
 document of which blocks cut a part is taken as a whole.
+
+Defined results: a null or empty text fails the quality rules and goes; null ids
+are documents by their texts; of ties and repeated rows one of each id and text is
+decided for all, and rows of the id that stays stay; very long texts pass whole;
+empty tables give no rows; other columns, whatever their names, pass to the last
+stage. Without ``tessera.llm`` this module can't be imported: ``__spark_entry__``
+then leaves its query out.
 """
 
 from __future__ import annotations
