@@ -30,6 +30,10 @@ def independents(edges: Edges, hashes: Iterable[str]) -> list[str]:
 
 def merge_bases(edges: Edges, ours: str, theirs: str) -> list[str]:
     """Best common ancestors, sorted; a base is not searched beyond."""
+    if ours == theirs:
+        return [ours]
+    if ours in edges.get(theirs, ()):  # the usual commit on the head
+        return [ours]
     known, seen, queue, common = set(ancestors(edges, theirs)), {ours}, deque([ours]), []
     while queue:
         now = queue.popleft()

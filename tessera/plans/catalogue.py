@@ -11,8 +11,10 @@ from ..functions.predicates import Filters
 from ..operators import history
 from ..operators.merge import ours, theirs, three_way
 from ..operators.mutate import Mutations, content_hash
-from ..sources.external import tables
+from ..sources.external import parquet, tables
+from ..sources.repository import Repository, scratch
 from .execute import frames
+from .syntax import RequestError
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,7 +187,114 @@ def _merge_sql(pick: str, gone_ours: str, gone_theirs: str) -> str:
         WHERE t.id IS NULL AND (o.event_type <> b.event_type OR o.value <> b.value) AND {gone_theirs}"""
 
 
+_VERSIONED = "type Region { name: String } type Nation { name: String key: Int tags: [Int] region: Region twins: [Nation] }"
+
+
+def _versioned(spark: SparkSession, d: str) -> tuple[Repository, str]:
+    """A repository of regions and nations with one commit of both, and that commit."""
+    repo = Repository.init(spark, scratch(spark), _VERSIONED)
+    tx = repo.transaction()
+    tx.insert("Region", parquet(spark, f"{d}/region.parquet").selectExpr("cast(r_regionkey as string) id", "r_name name"))
+    twins = "array(cast((n_nationkey + 1) % 25 as string), cast(n_nationkey as string), cast((n_nationkey + 1) % 25 as string)) twins"
+    tx.insert("Nation", parquet(spark, f"{d}/nation.parquet").selectExpr("cast(n_nationkey as string) id", "n_name name", "n_nationkey key", "array(n_nationkey, 7, n_regionkey) tags", "cast(n_regionkey as string) region", twins))
+    return repo, repo.merge(tx.commit())
+
+
+def _one(repo: Repository, text: str) -> dict:
+    out = repo.execute(text)
+    if "errors" in out:
+        raise RequestError(out["errors"][0]["message"])
+    return out["data"]
+
+
+def repo_time_travel(spark: SparkSession, d: str) -> DataFrame:
+    """Names before and after an update, by revision."""
+    repo, first = _versioned(spark, d)
+    _one(repo, 'mutation { updateNation(filter: {key: {lt: 5}}, patch: {name: {set: "NEW"}}) { id } }')
+    then, now = (repo.frame("{ listNation { key name } }", at=at)["listNation"] for at in (first, None))
+    return then.withColumnRenamed("name", "was").join(now, "key")
+
+
+def repo_branch_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two branches of one commit: the head renames and deletes, the other renames, tags and deletes."""
+    repo, first = _versioned(spark, d)
+    branch = f'@revision(hash: "{first}")'
+    _one(repo, 'mutation { updateNation(filter: {key: {lt: 6}}, patch: {name: {set: "OURS"}}) { id } deleteNation(filter: {key: {eq: 20}}) { id } }')
+    _one(repo, f'mutation {branch} {{ a: updateNation(filter: {{key: {{in: [4, 5, 6]}}}}, patch: {{name: {{set: "THEIRS"}}}}) {{ id }} b: updateNation(filter: {{key: {{gt: 22}}}}, patch: {{tags: {{append: 1}}}}) {{ id }} c: deleteNation(filter: {{key: {{eq: 0}}}}) {{ id }} }}')
+    return repo.frame("{ listNation { key name tags } }")["listNation"].selectExpr("key", "name", "cast(size(tags) as bigint) n_tags", "element_at(tags, -1) last_tag")
+
+
+def repo_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Commits from the head, with how many parents each has and whether it is the first of all or the head."""
+    repo, first = _versioned(spark, d)
+    _one(repo, 'mutation { createRegion(data: {name: "A"}) { id } }')
+    _one(repo, f'mutation @revision(hash: "{first}") {{ createRegion(data: {{name: "B"}}) {{ id }} }}')
+    hashes = [c["hash"] for c in _one(repo, "{ commits { hash } }")["commits"]]
+    rows = [(i, len(repo.commit_object(h)["parents"]), h == first, h == repo.head()) for i, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "ord long, parents long, is_first boolean, is_head boolean")
+
+
+def repo_dump(spark: SparkSession, d: str) -> DataFrame:
+    repo, _ = _versioned(spark, d)
+    return repo.dump().select("collection", F.array_join("ids", ",").alias("ids"))
+
+
+def repo_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, scalar lists, links in stored order with repeats, and a nested object, from a repository."""
+    repo, _ = _versioned(spark, d)
+    frame = repo.frame("{ listNation(filter: {region: {name: {neq: \"ASIA\"}}}) { id tags region { id name } twins { id key } } }")["listNation"]
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return frame.select("id", joined(F.col("tags")).alias("tags"), F.col("region.id").alias("region_id"), F.col("region.name").alias("region"), joined(F.col("twins.key")).alias("twins"))
+
+
+def repo_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Content hashes: equal documents have one, whatever their ids; what a commit holds is found by it."""
+    repo, _ = _versioned(spark, d)
+    tx = repo.transaction()
+    tx.insert("Region", repo.list("Region").selectExpr("concat('copy', id) id", "name"))
+    repo.merge(tx.commit())
+    return repo.frame("{ listRegion { name hash } }")["listRegion"].groupBy("hash", "name").agg(F.count("*").alias("n"))
+
+
+def repo_document(spark: SparkSession, d: str) -> DataFrame:
+    """Patch, read, match and delete one document by id."""
+    repo, _ = _versioned(spark, d)
+    tx = repo.transaction()
+    seven = tx.patch_document("Nation", "7", {"name": {"set": "SEVEN"}, "tags": {"append": 9}, "id": {"set": "8"}})
+    hit = tx.matches("Nation", "7", {"name": {"eq": "SEVEN"}})
+    tx.delete_document("Nation", "8")
+    repo.merge(tx.commit())
+    left = repo.list("Nation").count()
+    return spark.createDataFrame([(seven["id"], seven["name"], seven["tags"][-1], hit, left)], "id string, name string, last_tag long, hit boolean, left long")
+
+
+def repo_create_in_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Each matched document gets a child of its own, and a linked one."""
+    repo, _ = _versioned(spark, d)
+    _one(repo, 'mutation { updateNation(filter: {key: {lt: 3}}, patch: {twins: {set: [{name: "CHILD"}, {id: "9"}]}}) { id } }')
+    frame = repo.frame("{ listNation(filter: {key: {lt: 3}}) { key twins { name } } }")["listNation"]
+    return frame.select("key", F.array_join("twins.name", ",").alias("twins"))
+
+
+_LINE_ORDER = "{ listOrder { orderkey lines { linenumber quantity } } }"
+
+
+def project_list_order(spark: SparkSession, d: str) -> DataFrame:
+    """Lists in their declared order, element by element."""
+    text = "array_join(transform(lines, x -> concat(x.linenumber, ':', cast(x.quantity as int))), ',') AS lines"
+    return _request(_LINE_ORDER, ["orderkey", text])(spark, d)
+
+
 _PLAIN: dict[str, tuple[Query, str]] = {
+    "repo_time_travel": (repo_time_travel, "SELECT n_nationkey::BIGINT AS key, n_name AS was, CASE WHEN n_nationkey < 5 THEN 'NEW' ELSE n_name END AS name FROM nation"),
+    "repo_branch_merge": (repo_branch_merge, "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey IN (4, 5, 6) THEN 'THEIRS' WHEN n_nationkey < 6 THEN 'OURS' ELSE n_name END AS name, CASE WHEN n_nationkey > 22 THEN 4 ELSE 3 END::BIGINT AS n_tags, CASE WHEN n_nationkey > 22 THEN 1 ELSE n_regionkey END::BIGINT AS last_tag FROM nation WHERE n_nationkey NOT IN (0, 20)"),
+    "repo_commits": (repo_commits, "SELECT * FROM (VALUES (0::BIGINT, 2::BIGINT, false, true), (1, 1, false, false), (2, 1, false, false), (3, 1, true, false), (4, 0, false, false)) t(ord, parents, is_first, is_head)"),
+    "repo_dump": (repo_dump, "SELECT 'Nation' AS collection, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey::VARCHAR) AS ids FROM nation UNION ALL SELECT 'Region', string_agg(r_regionkey::VARCHAR, ',' ORDER BY r_regionkey::VARCHAR) FROM region"),
+    "repo_lists": (repo_lists, "SELECT n_nationkey::VARCHAR AS id, n_nationkey || ',7,' || n_regionkey AS tags, r_regionkey::VARCHAR AS region_id, r_name AS region, ((n_nationkey + 1) % 25) || ',' || n_nationkey || ',' || ((n_nationkey + 1) % 25) AS twins FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA'"),
+    "repo_hashes": (repo_hashes, """SELECT sha256('Region' || chr(10) || 'name={"name":"' || r_name || '"}') AS hash, r_name AS name, 2::BIGINT AS n FROM region"""),
+    "repo_document": (repo_document, "SELECT '7' AS id, 'SEVEN' AS name, 9::BIGINT AS last_tag, true AS hit, count(*) - 1 AS left FROM nation"),
+    "repo_create_in_patch": (repo_create_in_patch, "SELECT n_nationkey::BIGINT AS key, 'CHILD,' || (SELECT n_name FROM nation WHERE n_nationkey = 9) AS twins FROM nation WHERE n_nationkey < 3"),
+    "project_list_order": (project_list_order, "SELECT o_orderkey AS orderkey, coalesce(string_agg(l_linenumber || ':' || l_quantity::INT, ',' ORDER BY l_linenumber, l_quantity), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"),
     "create_insert": (create_insert, "SELECT r_regionkey::BIGINT AS regionkey, r_name AS name FROM region UNION ALL SELECT 99, 'ATLANTIS'"),
     "create_nested": (create_nested, "SELECT 'LEMURIA' AS nation, 'MU' AS region"),
     "update_set": (update_set, "SELECT p_partkey AS partkey, CASE WHEN p_size > 40 THEN 'BIG' ELSE p_brand END AS brand FROM part"),

@@ -82,6 +82,20 @@ class Request:
                     old.selection = [*(old.selection or []), *f.selection]
         return list(out.values())
 
+    def checked(self, on: str, f: Field) -> Field:
+        """A root field whose arguments are known, there if they have to be, and of the right shape."""
+        known = self.schema.arguments(on).get(f.name)
+        if known is None:
+            raise RequestError(f'Cannot query field "{f.name}" on type "{on}".', f.at)
+        for a, value in f.arguments.items():
+            if a not in known:
+                raise RequestError(f'Unknown argument "{a}" on field "{on}.{f.name}".', f.at)
+            self.schema.check_input(known[a], value, f.at)
+        for a, t in known.items():
+            if t.endswith("!") and f.arguments.get(a) is None:
+                raise RequestError(f'Field "{f.name}" argument "{a}" of type "{t}" is required, but it was not provided.', f.at)
+        return f
+
     def document_fields(self, name: str, selection: list | None, at: tuple[int, int]) -> list[Field]:
         """A validated selection on a declared type, all levels of it."""
         if not selection:
@@ -92,6 +106,8 @@ class Request:
                 continue
             if f.name not in ("id", "hash", *self.schema.type(name).fields):
                 raise RequestError(f'Cannot query field "{f.name}" on type "{name}".', f.at)
+            if f.arguments:
+                raise RequestError(f'Unknown argument "{next(iter(f.arguments))}" on field "{name}.{f.name}".', f.at)
             t = self.schema.field(name, f.name)
             if self.schema.is_relation(t):
                 f.selection = self.document_fields(t.base, f.selection, f.at)
@@ -112,6 +128,7 @@ def frames(schema: Schema, snapshot: Mapping[str, DataFrame], text: str, variabl
     request = Request(schema, text, None, variables)
     out = {}
     for f in request.fields("Query", request.operation.selection):
+        request.checked("Query", f)
         kind, name = _split(f, ("list", "find"))
         selection = request.document_fields(schema.type(name).name, f.selection, f.at)
         if kind == "find":
@@ -209,11 +226,14 @@ def execute(repo, text: str, operation_name: str | None = None, variables: dict
         fields = request.fields(root, request.operation.selection)
         for f in fields:
             if not f.name.startswith("__") and f.name != "commits":
-                name = _split(f, ("list", "find") if root == "Query" else ("create", "update", "delete"))[1]
+                name = _split(request.checked(root, f), ("list", "find") if root == "Query" else ("create", "update", "delete"))[1]
                 request.document_fields(repo.schema.type(name).name, f.selection, f.at)
-        data = {f.alias: run.query(f) if root == "Query" else run.mutation(f) for f in fields}
-        if root == "Mutation":
-            repo.merge(run.tx.commit())
+        try:
+            data = {f.alias: run.query(f) if root == "Query" else run.mutation(f) for f in fields}
+            if root == "Mutation":
+                repo.merge(run.tx.commit())
+        finally:
+            run.tx.close()
         return {"data": data}
     except RequestError as e:
         return {"errors": [e.as_dict()]}

@@ -19,6 +19,21 @@ FILTER_OPS = {
 QUANTIFIERS = ("all", "any", "none")
 SYSTEM = ("id", "hash")
 
+#: Fixed values of the query language: the types that describe types.
+_DEPRECATED = {"includeDeprecated": "Boolean"}
+_META: tuple[tuple[str, dict[str, str], dict[str, dict[str, str]]], ...] = (
+    ("__Schema", {"types": "[__Type!]!", "queryType": "__Type!", "mutationType": "__Type", "subscriptionType": "__Type", "directives": "[__Directive!]!"}, {}),
+    ("__Type", {"kind": "__TypeKind!", "name": "String", "description": "String", "fields": "[__Field!]", "interfaces": "[__Type!]", "possibleTypes": "[__Type!]", "enumValues": "[__EnumValue!]", "inputFields": "[__InputValue!]", "ofType": "__Type"}, {"fields": _DEPRECATED, "enumValues": _DEPRECATED}),
+    ("__Field", {"name": "String!", "description": "String", "args": "[__InputValue!]!", "type": "__Type!", "isDeprecated": "Boolean!", "deprecationReason": "String"}, {}),
+    ("__InputValue", {"name": "String!", "description": "String", "type": "__Type!", "defaultValue": "String"}, {}),
+    ("__EnumValue", {"name": "String!", "description": "String", "isDeprecated": "Boolean!", "deprecationReason": "String"}, {}),
+    ("__Directive", {"name": "String!", "description": "String", "locations": "[__DirectiveLocation!]!", "args": "[__InputValue!]!"}, {}),
+)
+_ENUMS = {
+    "__TypeKind": ("SCALAR", "OBJECT", "INTERFACE", "UNION", "ENUM", "INPUT_OBJECT", "LIST", "NON_NULL"),
+    "__DirectiveLocation": ("QUERY", "MUTATION", "SUBSCRIPTION", "FIELD", "FRAGMENT_DEFINITION", "FRAGMENT_SPREAD", "INLINE_FRAGMENT", "VARIABLE_DEFINITION", "SCHEMA", "SCALAR", "OBJECT", "FIELD_DEFINITION", "ARGUMENT_DEFINITION", "INTERFACE", "UNION", "ENUM", "ENUM_VALUE", "INPUT_OBJECT", "INPUT_FIELD_DEFINITION"),
+}
+
 
 @dataclass
 class Schema:
@@ -27,6 +42,9 @@ class Schema:
     source: str
     types: dict[str, Declared]
     reverse: dict[tuple[str, str], tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+    known: dict[str, dict] = field(default_factory=dict)
+    inputs: dict[str, dict[str, str]] = field(default_factory=dict)
+    roots: dict[str, dict[str, dict[str, str]]] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, source: str, reverse: dict[tuple[str, str], tuple[str, tuple[str, ...]]] | None = None) -> Schema:
@@ -79,9 +97,39 @@ class Schema:
 
     # the generated interface, for introspection
 
+    def arguments(self, on: str) -> dict[str, dict[str, str]]:
+        """The arguments of each root field, with their types."""
+        self.model()
+        return self.roots[on]
+
+    def check_input(self, kind: str, value: Any, at: tuple[int, int] | None = None) -> None:
+        """Whether a literal or variable has the shape of an input type; one value stands for a list of it."""
+        if value is None:
+            if kind.endswith("!"):
+                raise RequestError(f'Expected value of type "{kind}", found null.', at)
+            return
+        kind = kind.removesuffix("!")
+        if kind[0] == "[":
+            for v in value if isinstance(value, list) else [value]:
+                self.check_input(kind[1:-1], v, at)
+        elif kind in SCALARS:
+            if isinstance(value, (dict, list)):
+                raise RequestError(f'Expected value of type "{kind}", found {value!r}.', at)
+            self.coerce(TypeRef(kind), value)
+        else:
+            members = self.inputs[kind]
+            if not isinstance(value, dict):
+                raise RequestError(f'Expected value of type "{kind}", found {value!r}.', at)
+            for k, v in value.items():
+                if k not in members:
+                    raise RequestError(f'Field "{k}" is not defined by type "{kind}".', at)
+                self.check_input(members[k], v, at)
+
     def model(self) -> dict[str, dict]:
         """All types of the generated interface as introspection describes them."""
-        out: dict[str, dict] = {}
+        if self.known:
+            return self.known
+        out = self.known
 
         def ref(t: TypeRef) -> dict:
             if t.required:
@@ -95,6 +143,8 @@ class Schema:
             return TypeRef(of=of(text[1:-1])) if text[0] == "[" else TypeRef(name=text)
 
         def put(kind: str, name: str, members: dict[str, str], described: str | None = None, args: dict[str, dict[str, str]] | None = None) -> None:
+            if kind == "INPUT_OBJECT":
+                self.inputs[name] = members
             out[name] = {"kind": kind, "name": name, "description": described, "members": members, "args": args or {}}
 
         put("SCALAR", "ID", {}), put("SCALAR", "String", {}), put("SCALAR", "Int", {}), put("SCALAR", "Float", {}), put("SCALAR", "Boolean", {})
@@ -119,6 +169,11 @@ class Schema:
             qargs |= {f"list{n}": {"filter": f"{n}FilterInput"}, f"find{n}": {"id": "ID!"}}
             mutation |= {f"create{n}": n, f"update{n}": f"[{n}]", f"delete{n}": f"[{n}]"}
             margs |= {f"create{n}": {"data": f"{n}CreateInput"}, f"update{n}": {"filter": f"{n}FilterInput", "patch": f"{n}PatchInput"}, f"delete{n}": {"filter": f"{n}FilterInput"}}
+        self.roots = {"Query": {"commits": {}} | qargs, "Mutation": margs}
+        for name, members, margs_ in _META:
+            put("OBJECT", name, members, None, margs_)
+        for name in _ENUMS:
+            put("ENUM", name, {})
         put("OBJECT", "Query", query, None, qargs)
         put("OBJECT", "Mutation", mutation, None, margs)
         inputs = lambda members: [{"__typename": "__InputValue", "name": k, "description": None, "defaultValue": None, "type": ref(of(v))} for k, v in members.items()]
@@ -127,7 +182,8 @@ class Schema:
             described = self.types[t["name"]].field_descriptions if t["name"] in self.types else {}
             is_object = t["kind"] == "OBJECT"
             t |= {
-                "__typename": "__Type", "interfaces": [] if is_object else None, "possibleTypes": None, "enumValues": None, "ofType": None,
+                "__typename": "__Type", "interfaces": [] if is_object else None, "possibleTypes": None, "ofType": None,
+                "enumValues": [{"__typename": "__EnumValue", "name": v, "description": None, "isDeprecated": False, "deprecationReason": None} for v in _ENUMS[t["name"]]] if t["kind"] == "ENUM" else None,
                 "inputFields": inputs(members) if t["kind"] == "INPUT_OBJECT" else None,
                 "fields": [{"__typename": "__Field", "name": k, "description": described.get(k), "isDeprecated": False, "deprecationReason": None, "args": inputs(args.get(k, {})), "type": ref(of(v))} for k, v in members.items()] if is_object else None,
             }
@@ -139,5 +195,6 @@ class Schema:
         places = ["FIELD", "FRAGMENT_SPREAD", "INLINE_FRAGMENT"]
         return {
             "__typename": "__Schema", "types": list(types.values()), "queryType": types["Query"], "mutationType": types["Mutation"], "subscriptionType": None,
-            "directives": [flag("include", places, {"if": "Boolean"}), flag("skip", places, {"if": "Boolean"}), flag("revision", ["QUERY", "MUTATION"], {"hash": "String"})],
+            "directives": [flag("include", places, {"if": "Boolean"}), flag("skip", places, {"if": "Boolean"}), flag("revision", ["QUERY", "MUTATION"], {"hash": "String"}),
+                flag("deprecated", ["FIELD_DEFINITION", "ARGUMENT_DEFINITION", "INPUT_FIELD_DEFINITION", "ENUM_VALUE"], {}), flag("specifiedBy", ["SCALAR"], {"url": "String"})],
         }

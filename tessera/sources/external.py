@@ -41,6 +41,11 @@ def _kept(spark: SparkSession, path: str, label: str, make: Callable[[], DataFra
     return known[path, label][1]
 
 
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, planned once for each time that its file was changed."""
+    return _kept(spark, path, "", lambda: spark.read.parquet(path))
+
+
 class Snapshot(Mapping):
     """Collections by name, each made when it is first asked for."""
 

@@ -2,15 +2,24 @@
 
 Layout below a root folder: ``docs`` (documents by content hash, only appended),
 ``manifests`` (which id has which document, a folder for each version of a
-collection), ``data_roots``, ``commits`` and ``commit_parents``, the schema, and
-HEAD, which is written last and by a rename.
+collection), ``data_roots`` and ``commits``, the schema, and ``heads``.
+
+A head is a numbered file that is renamed into its place, which fails if another
+writer has taken the number: the later one then merges into the other's head. A
+reader sees a whole head or the one before, also after a crash. What a
+transaction writes on its way lies in a folder of its own, deleted at its end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
+from collections import ChainMap
+from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +41,12 @@ class Files:
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
-        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+        kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        self.over = spark.sparkContext._gateway.new_array(kinds, 1)
+        self.over[0], self.none = kinds.OVERWRITE, spark.sparkContext._gateway.new_array(kinds, 0)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -46,27 +60,112 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Written beside, then renamed over."""
-        stream = self.fs.create(self._path(name + ".new"), True)
+    def write(self, name: str, text: str, new: bool = False) -> bool:
+        """Written beside, then renamed into place at once; ``new``: false if the name is taken already."""
+        folder, _, last = name.rpartition("/")
+        beside = self._path(f"{folder}/.{last}-{uuid.uuid4().hex}" if folder else f".{last}-{uuid.uuid4().hex}")
+        stream = self.fs.create(beside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(self._path(name + ".new"), self._path(name)):
-            raise OSError(f"{name} can't be replaced")
+        try:
+            self.context.rename(beside, self._path(name), self.none if new else self.over)
+        except Py4JJavaError as e:
+            self.fs.delete(beside, False)
+            if new and "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder but those of files that are being written."""
+        if not self.exists(folder):
+            return []
+        found = (s.getPath().getName() for s in self.fs.listStatus(self._path(folder)))
+        return sorted(n for n in found if not n.startswith("."))
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
 
 
+class Store(Protocol):
+    """Small values by key."""
+
+    def get(self, key: str) -> bytes: ...
+
+    def put(self, key: str, value: bytes) -> None: ...
+
+
+class MemoryStore:
+    """Values in memory; what is given and taken are copies."""
+
+    def __init__(self) -> None:
+        self.values: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes:
+        if key not in self.values:
+            raise KeyError(f"key not found: {key}")
+        return self.values[key]
+
+    def put(self, key: str, value: bytes) -> None:
+        self.values[key] = bytes(value)
+
+
+class FolderStore:
+    """Values as files below a folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.files = Files(spark, root)
+        self.files.fs.mkdirs(self.files._path(""))
+
+    def get(self, key: str) -> bytes:
+        text = self.files.read(key)
+        if text is None:
+            raise KeyError(f"key not found: {key}")
+        return bytes.fromhex(text)
+
+    def put(self, key: str, value: bytes) -> None:
+        self.files.write(key, bytes(value).hex())
+
+
 class Transaction(Mutations):
     """A snapshot of one commit with changes on top."""
 
     def __init__(self, repo: Repository, at: str):
-        super().__init__(repo.spark, repo.schema, Snapshot({n: lambda n=n: repo.snapshot(n, at) for n in repo.schema.types}), repo._settle)
-        self.repo, self.base = repo, at
+        super().__init__(repo.spark, repo.schema, Snapshot({n: lambda n=n: repo.snapshot(n, at) for n in repo.schema.types}), self._settled)
+        self.repo, self.base, self.folder = repo, at, f"pending/{uuid.uuid4().hex}"
+
+    def _settled(self, name: str, frame: DataFrame) -> DataFrame:
+        """A changed collection, written so that nothing is run twice."""
+        path = f"{self.repo.path}/{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete what the transaction wrote on its way."""
+        self.repo.files.delete(self.folder)
+
+    def insert(self, name: str, frame: DataFrame) -> None:
+        """Add many documents that have ids already; fields that the frame lacks are null."""
+        struct = self.schema.struct(name)
+        have = {c for c in frame.columns}
+        rows = frame.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct.fields])
+        self._put(name, self.snapshot[name].unionByName(self.hashed(name, rows)))
+
+    def patch_document(self, name: str, doc_id: str, patch: dict) -> dict:
+        """Patch one document; gives it as it is then."""
+        self.read(name, doc_id)
+        one = self.snapshot[name].where(F.col("id") == doc_id).select("id", F.lit(1).alias("times"))
+        self.patch(name, one, patch)
+        return self.read(name, doc_id)
+
+    def delete_document(self, name: str, doc_id: str) -> None:
+        self.read(name, doc_id)
+        self._put(name, self.snapshot[name].where(F.col("id") != doc_id))
 
     def read(self, name: str, doc_id: str) -> dict:
         self.schema.type(name)
@@ -91,24 +190,53 @@ class Transaction(Mutations):
         root = dict(self.repo.data_root(self.base))
         for name in self.changed:
             root[name] = self.repo._store(name, self.snapshot[name])
-        return self.repo._commit(root, [self.base])
+        made = self.repo._commit(root, [self.base])
+        self.snapshot = ChainMap({}, Snapshot({n: lambda n=n: self.repo.snapshot(n, made) for n in self.schema.types}))
+        self.base, self.changed = made, set()
+        self.close()
+        return made
+
+
+class _Parents(dict):
+    """Parents of commits, read when they are asked for: a merge reads no further than it searches."""
+
+    def __init__(self, repo: Repository):
+        super().__init__()
+        self.repo = repo
+
+    def get(self, commit: str, default: object = ()) -> list[str]:
+        if commit not in self:
+            self[commit] = self.repo.commit_object(commit)["parents"]
+        return self[commit]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or for local runs without it a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/tessera-repository-{uuid.uuid4().hex[:12]}"
 
 
 class Repository:
     def __init__(self, spark: SparkSession, path: str, schema: Schema, resolver: Resolver = take_theirs):
         self.spark, self.path, self.schema, self.resolver = spark, path.rstrip("/"), schema, resolver
         self.files = Files(spark, path)
-        self._settled = 0
 
     @classmethod
     def init(cls, spark: SparkSession, path: str, source: str, resolver: Resolver = take_theirs) -> Repository:
         repo = cls(spark, path, Schema.parse(source), resolver)
-        if repo.files.exists("HEAD"):
+        if repo.files.names("heads"):
             raise RequestError("a repository is there already")
         repo.files.fs.mkdirs(repo.files._path(""))
         repo.files.write("schema.graphql", source)
         root = {n: repo._store(n, spark.createDataFrame([], repo.schema.struct(n))) for n in repo.schema.types}
-        repo._set_head(repo._commit(root, []))
+        for folder in ("heads", "pending"):
+            repo.files.fs.mkdirs(repo.files._path(folder))
+        if not repo._set_head(0, repo._commit(root, [])):
+            raise RequestError("a repository is there already")
         return repo
 
     @classmethod
@@ -121,7 +249,12 @@ class Repository:
     # reading
 
     def head(self) -> str:
-        return self.files.read("HEAD").strip()
+        return self._last()[1]
+
+    def _last(self) -> tuple[int, str]:
+        """The number of the newest head, and its commit."""
+        last = self.files.names("heads")[-1]
+        return int(last), self.files.read(f"heads/{last}").strip()
 
     def _meta(self, kind: str, key: str) -> dict:
         text = self.files.read(f"{kind}/{key}.json")
@@ -178,13 +311,6 @@ class Repository:
 
     # writing
 
-    def _settle(self, name: str, frame: DataFrame) -> DataFrame:
-        """A changed collection of a transaction, written so that nothing is run twice."""
-        self._settled += 1
-        path = f"{self.path}/pending/{name}-{id(self)}-{self._settled}"
-        frame.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
     def _store(self, name: str, frame: DataFrame) -> str:
         """New documents are appended, and the manifest is written under the digest of what it holds."""
         docs = frame.drop("id").dropDuplicates(["hash"])
@@ -210,23 +336,29 @@ class Repository:
         self.files.write(f"commits/{made}.json", commit)
         return made
 
-    def _set_head(self, commit: str) -> None:
-        self.files.write("HEAD", commit)
+    def _set_head(self, number: int, commit: str) -> bool:
+        """Make a commit the head of a number; false if another writer was first."""
+        return self.files.write(f"heads/{number:012}", commit, new=True)
 
     def transaction(self, at: str | None = None) -> Transaction:
         return Transaction(self, at or self.head())
 
     def merge(self, other: str, resolver: Resolver | None = None) -> str:
-        """Merge a commit into the head; the new head."""
-        head = self.head()
-        bases = history.merge_bases(self.edges(head) | self.edges(other), head, other)
+        """Merge a commit into the head; the new head. Where another writer moves it meanwhile, into that."""
+        while True:
+            number, head = self._last()
+            made = self._merged(head, other, resolver)
+            if made == head or self._set_head(number + 1, made):
+                return made
+
+    def _merged(self, head: str, other: str, resolver: Resolver | None) -> str:
+        bases = history.merge_bases(_Parents(self), head, other)
         if not bases:
             raise RequestError("no merge base found")
         base = bases[0]
         if base == other:
             return head
         if base == head:
-            self._set_head(other)
             return other
         b, o, t = (self.data_root(c) for c in (base, head, other))
         root = {}
@@ -239,10 +371,23 @@ class Repository:
             else:
                 sides = [self.snapshot(name, c) for c in (base, head, other)]
                 merged = three_way(*sides, resolver=resolver or self.resolver, fields=[n for n in self.schema.struct(name).names if n not in ("id", "hash")])
-                root[name] = self._store(name, self._settle(name, Mutations(self.spark, self.schema, {}).hashed(name, merged)))
-        made = self._commit(root, [head, other])
-        self._set_head(made)
-        return made
+                work = self.transaction(head)
+                root[name] = self._store(name, work._settled(name, work.hashed(name, merged)))
+                work.close()
+        return self._commit(root, [head, other])
+
+    def frame(self, query: str, variables: dict | None = None, at: str | None = None) -> dict[str, DataFrame]:
+        """A lazy DataFrame for each root field of a query."""
+        from ..plans.execute import frames
+
+        return frames(self.schema, self.transaction(at).snapshot, query, variables)
+
+    def list(self, name: str, spec: dict | None = None, at: str | None = None) -> DataFrame:
+        """The documents of a collection that match a filter, lazily."""
+        from ..functions.predicates import Filters
+
+        snapshot = self.transaction(at).snapshot
+        return Filters(self.schema, snapshot).apply(name, snapshot[name], spec)
 
     def execute(self, query: str, operation_name: str | None = None, variables: dict | None = None) -> dict:
         from ..plans.execute import execute

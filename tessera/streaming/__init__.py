@@ -1,0 +1 @@
+"""Streams over the history of a repository."""
