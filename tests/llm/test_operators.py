@@ -288,13 +288,22 @@ def test_lattice(docs, none):
         one = dict(zip(lengths, grid.score([x.encode() for x in lengths])))
         known = sum(x != "\0end" for x in count)
         end, spelled = math.log(count["\0end"] / n), math.log(lattice_lm.DISCOUNT * known / n)
-        both = end + sum(k * np.logaddexp(one[x] + spelled, math.log(max(count[x] - lattice_lm.DISCOUNT, 1e-300) / n)) for x, k in lengths.items())
-        assert abs(both / math.log(10) - r.score) < 1e-6 * abs(r.score)
+        total = {x: np.logaddexp(one[x] + spelled, math.log(max(count[x] - lattice_lm.DISCOUNT, 1e-300) / n)) for x in lengths}
+        both = end + sum(k * total[x] for x, k in lengths.items())
+        assert abs(both / math.log(10) - r.drawn_score) < 1e-6 * abs(r.drawn_score)
+        urn, before, seen = lattice_lm.URN, math.log(1 - count["\0end"] / n), collections.Counter()
+        for t, x in enumerate(tokens[:-1]):  # word by word, in the order of the text
+            end += before + np.logaddexp(math.log(urn) + total[x] - before, math.log(seen[x]) if seen[x] else -math.inf) - math.log(urn + t)
+            seen[x] += 1
+        assert abs(end / math.log(10) - r.score) < 1e-6 * abs(r.score)
+        end = math.log(count["\0end"] / n)
         assert abs((end + sum(k * one[x] for x, k in lengths.items())) / math.log(10) - r.spelled_score) < 1e-6 * abs(r.spelled_score)
     assert len(rows) == len(ROWS) and lattice_lm.score_documents(none).count() == 0
     # chunks of a few bytes give the same rows; so do repeated rows, which count again
     small = {r.doc_id: tuple(r) for r in lattice_lm.score_documents(docs, chunk_bytes=100).collect()}
     assert {i: [round(x, 6) for x in r if isinstance(x, float)] for i, r in small.items()} == {r.doc_id: [round(x, 6) for x in r if isinstance(x, float)] for r in rows}
+    empty = docs.sparkSession.createDataFrame([(1, ""), (13, "words here"), (10, None)], "doc_id long, text string")
+    assert all(math.isfinite(r.score) and r.n_known <= 1 for r in lattice_lm.score_documents(empty).collect())
     twice = {r.doc_id: r.train_tokens for r in lattice_lm.score_documents(docs.union(docs)).collect()}
     assert set(twice.values()) == {2 * n} and len(twice) == len(ROWS)
 
