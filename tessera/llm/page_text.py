@@ -10,7 +10,7 @@ element, role, class or id) go. Lines of unmarked places, on any page, stand or
 fall by the difference.
 
 Defined results
-* null or empty html: empty text
+* null or empty html, or none but furniture: empty text; such a page is no neighbour
 * a page alone on its host, or with copies only: no difference, structure alone
   decides: lines of unmarked places stay if no article is marked
 * copies (repeated rows, one article under several URLs) have the same lines but
@@ -26,7 +26,9 @@ Defined results
 Ranges of keys are dealt out, so a hot host is spread over many tasks. Each range
 is sent the nearest rows on both sides of it as guests, ``GUESTS`` of other html,
 from as many ranges away as that takes; so where ranges end decides nothing,
-unless more than ``GUESTS`` copies that differ in html lie there.
+unless more than ``GUESTS`` copies that differ in html, or empty pages, lie there. The driver sees
+sampled keys and the edges of ranges, of which there are ``RANGES`` about at any
+size: larger corpora have longer ranges, which are sorted on disk and streamed.
 """
 
 from __future__ import annotations
@@ -61,9 +63,10 @@ _SPACE = re.compile(r"\s+")
 #: A tag that the end of the page cuts off.
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 
-#: Rows of other html that a range is sent from each side, and sampled keys for each range.
+#: Rows of other html that a range is sent from each side, sampled keys for each range, and the number of ranges at most, about.
 GUESTS = 3
 SAMPLED = 8
+RANGES = 8192
 
 #: Where a line stands.
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
@@ -236,7 +239,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, host, path, page_id, url, html, guest in zip(*(batch.column(i).to_pylist() for i in range(7))):
             after = _Run((to, host), lines_of(html or ""))
             after.members.append((path, page_id, url, guest))
-            if now is None or after.group != now.group or after.text != now.text:
+            if not after.text:
+                done += [] if guest else [(page_id, url, "")]  # nothing to hold another page against
+            elif now is None or after.group != now.group or after.text != now.text:
                 if now:
                     done += now.texts(before, after)
                 before, now = now, after
@@ -307,8 +312,8 @@ def _guests(edges: list) -> list[tuple]:
 
 
 def main_texts(pages: DataFrame, rows: int = 1000) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page; ``rows`` is about the pages of a range."""
-    placed = _placed(pages, rows)
+    """``page_id, url, text, n_chars`` for every page; ``rows`` is about the pages of a range, of no more than ``RANGES``."""
+    placed = _placed(pages, max(rows, pages.count() // RANGES))
     columns = ["to", "host", "path", "page_id", "url", "html", "guest", "id"]
     dealt = placed.withColumn("to", F.col("range")).withColumn("guest", F.lit(False)).select(*columns)
     if guests := _guests(_edges(placed)):
