@@ -204,4 +204,4 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     # a generator, as a filter over the column would be pushed below it and judge every text twice
     judged = docs.withColumn(q, F.explode(F.filter(F.array(judge(F.col("text"), rules)), lambda x: x["kept"])))
     new = {"text": F.col(q)["clean"], "n_chars": F.length(F.col(q)["clean"]).cast("long")}
-    return judged.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
+    return judged.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -442,6 +442,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     cut, was_cut = left(text, F.col("s.spans")), native.fresh(docs, "cut")
     new: dict[str, Column] = {"text": F.when(F.col("s.tie").isNull(), F.col("d.text")).otherwise(cut)}
-    kept = joined.select(*[new.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns], F.col("s.tie").isNotNull().alias(was_cut))
+    kept = joined.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns], F.col("s.tie").isNotNull().alias(was_cut))
     kept = kept.where(~F.col(was_cut) | (F.col("text") != "")).drop(was_cut)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept

@@ -23,7 +23,7 @@ ROWS = [
 #: Names that the operators use inside.
 CLASHES = (
     "chunk bucket range to key tie h n n_chars times taken taken_id size seat shard block source_size target start length offset digest license words "
-    "root component_id label print next edited guest url html path host id page_id held_out numbers counts spelled verdict q lexicon_bits bits slice at"
+    "root component_id label print next edited guest url html path host id page_id held_out numbers counts spelled verdict q lexicon_bits bits slice at a.b"
 ).split()
 OPERATORS = {
     "op1": packing.pack,
