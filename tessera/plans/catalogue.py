@@ -98,16 +98,20 @@ def update_result(spark: SparkSession, d: str) -> DataFrame:
     return _mutations(spark, d).update("Part", {"size": {"gt": 40}}, {"size": {"set": 1}}).select("partkey", F.col("size").cast("long").alias("size"))
 
 
+def _elements(frame: DataFrame) -> DataFrame:
+    return frame.select("vec_id", F.posexplode("embedding").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), "x")
+
+
 def update_append(spark: SparkSession, d: str) -> DataFrame:
     m = _mutations(spark, d)
     m.update("Embedding", {"label": {"eq": 1}}, {"embedding": {"append": 7}})
-    return m.snapshot["Embedding"].select("vec_id", F.size("embedding").cast("long").alias("n"), F.element_at("embedding", -1).alias("last"))
+    return _elements(m.snapshot["Embedding"])
 
 
 def update_list_filter(spark: SparkSession, d: str) -> DataFrame:
     m = _mutations(spark, d)
     m.update("Embedding", {}, {"embedding": {"filter": {"all": [{"gt": 0}]}}})
-    return m.snapshot["Embedding"].select("vec_id", F.size("embedding").cast("long").alias("n"))
+    return _elements(m.snapshot["Embedding"])
 
 
 def update_relation(spark: SparkSession, d: str) -> DataFrame:
@@ -276,6 +280,90 @@ def repo_create_in_patch(spark: SparkSession, d: str) -> DataFrame:
     return frame.select("key", F.array_join("twins.name", ",").alias("twins"))
 
 
+def repo_list_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Lists set, appended to and filtered, by element and by the document linked."""
+    repo, _ = _versioned(spark, d)
+    _one(repo, """mutation {
+      a: updateNation(filter: {key: {lt: 5}}, patch: {tags: {set: [1, 2]}}) { id }
+      b: updateNation(filter: {key: {in: [5, 6, 7]}}, patch: {tags: {append: 9}}) { id }
+      c: updateNation(filter: {key: {gt: 14}}, patch: {tags: {filter: {none: [{eq: 7}]}} twins: {filter: {all: [{key: {gt: 20}}]}}}) { id }
+    }""")
+    frame = repo.frame("{ listNation { key tags twins { key } } }")["listNation"]
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return frame.select("key", joined(F.col("tags")).alias("tags"), joined(F.col("twins.key")).alias("twins"))
+
+
+_NODES = "type Node { key: Int next: Node parts: [Node] }"
+
+
+def _nodes(spark: SparkSession, d: str) -> Repository:
+    """Nations as nodes of which each links to the next; every fifth links to none."""
+    repo = Repository.init(spark, scratch(spark), _NODES)
+    tx = repo.transaction()
+    link = "if(n_nationkey % 5 = 4, null, cast(n_nationkey + 1 as string)) next"
+    tx.insert("Node", parquet(spark, f"{d}/nation.parquet").selectExpr("cast(n_nationkey as string) id", "n_nationkey key", link, "cast(null as array<string>) parts"))
+    repo.merge(tx.commit())
+    return repo
+
+
+def repo_self_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops to documents of the same type, some of them to none."""
+    frame = _nodes(spark, d).frame("{ listNode { key next { key next { key } } } }")["listNode"]
+    return frame.select("key", F.col("next.key").alias("second"), F.col("next.next.key").alias("third"))
+
+
+def repo_nested_create(spark: SparkSession, d: str) -> DataFrame:
+    """A document with children of its own and links to what was there."""
+    repo = _nodes(spark, d)
+    _one(repo, 'mutation { createNode(data: {key: 100, next: {id: "3"}, parts: [{key: 102, next: {id: "3"}}, {id: "7"}, {key: 101}]}) { id } }')
+    frame = repo.frame("{ listNode(filter: {key: {gte: 100}}) { key next { key } parts { key } } }")["listNode"]
+    parts = F.array_join(F.transform("parts.key", lambda x: x.cast("string")), ",")
+    return frame.select("key", F.col("next.key").alias("next"), F.coalesce(parts, F.lit("none")).alias("parts"))
+
+
+#: Requests that are refused: each with its message and place.
+_REFUSED: list[tuple[str, str, int | None, int | None]] = [
+    ("{ listNation { nope } }", 'Cannot query field "nope" on type "Nation".', 1, 16),
+    ("{ listNation { name { x } } }", "cannot traverse scalar type", 1, 16),
+    ("{ listNation { region } }", 'Field of type "Region" must have a selection of subfields.', 1, 16),
+    ('{ listNation(filter: {name: {like: "x"}}) { name } }', 'Field "like" is not defined by type "StringFilterInput".', 1, 3),
+    ("{ listNation(filter: 5) { name } }", 'Expected value of type "NationFilterInput", found 5.', 1, 3),
+    ("{ findNation { name } }", 'Field "findNation" argument "id" of type "ID!" is required, but it was not provided.', 1, 3),
+    ('{ findNation(id: "999") { name } }', "document not found", 1, 3),
+    ("{\n  listNation(bogus: 1) { name }\n}", 'Unknown argument "bogus" on field "Query.listNation".', 2, 3),
+    ("query A { listNation { name } } query B { listNation { name } }", "operation is not defined", None, None),
+    ("query($x: Int!) { listNation(filter: {key: {eq: $x}}) { name } }", "Variable $x is required.", None, None),
+    ('mutation { updateNation(filter: {}, patch: {name: {set: "a", bogus: 1}}) { id } }', 'Field "bogus" is not defined by type "StringPatchInput".', 1, 12),
+    ("subscription { x }", "unsupported operation", None, None),
+]
+
+
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Refused requests: the envelope has errors with places, and no data."""
+    repo, _ = _versioned(spark, d)
+    rows = []
+    for i, (text, *_) in enumerate(_REFUSED):
+        out = repo.execute(text)
+        error = out["errors"][0]
+        at = (error.get("locations") or [{}])[0]
+        rows.append((i, error["message"], at.get("line"), at.get("column"), "data" in out))
+    return spark.createDataFrame(rows, "ord long, message string, line long, col long, has_data boolean")
+
+
+def _refused_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({i}, {quoted(m)}, {a or 'NULL'}, {b or 'NULL'})" for i, (_, m, a, b) in enumerate(_REFUSED)]
+    return f"SELECT ord::BIGINT AS ord, message, line::BIGINT AS line, col::BIGINT AS col, false AS has_data FROM (VALUES {', '.join(rows)}) t(ord, message, line, col)"
+
+
+def introspect_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a type with their types, as a request sees them."""
+    repo, _ = _versioned(spark, d)
+    fields = _one(repo, '{ __type(name: "Nation") { fields { name type { kind name ofType { kind name } } } } }')["__type"]["fields"]
+    rows = [(i, f["name"], f["type"]["kind"], f["type"]["name"], (f["type"]["ofType"] or {}).get("name")) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "ord long, name string, kind string, type string, of_type string")
+
+
 _LINE_ORDER = "{ listOrder { orderkey lines { linenumber quantity } } }"
 
 
@@ -286,6 +374,12 @@ def project_list_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLAIN: dict[str, tuple[Query, str]] = {
+    "repo_list_patch": (repo_list_patch, """SELECT k AS key, CASE WHEN k < 5 THEN '1,2' WHEN k IN (5, 6, 7) THEN k || ',7,' || n_regionkey || ',9' WHEN k > 14 THEN k || ',' || n_regionkey ELSE k || ',7,' || n_regionkey END AS tags,
+      CASE WHEN k > 14 THEN array_to_string(list_filter([(k + 1) % 25, k, (k + 1) % 25], lambda x: x > 20), ',') ELSE ((k + 1) % 25) || ',' || k || ',' || ((k + 1) % 25) END AS twins FROM (SELECT n_nationkey::BIGINT AS k, n_regionkey FROM nation)"""),
+    "repo_self_relation": (repo_self_relation, "SELECT k AS key, CASE WHEN k % 5 < 4 THEN k + 1 END AS second, CASE WHEN k % 5 < 3 THEN k + 2 END AS third FROM (SELECT n_nationkey::BIGINT AS k FROM nation)"),
+    "repo_nested_create": (repo_nested_create, "SELECT key::BIGINT AS key, next::BIGINT AS next, parts FROM (VALUES (100, 3, '102,7,101'), (101, NULL, 'none'), (102, 3, 'none')) t(key, next, parts)"),
+    "request_errors": (request_errors, _refused_sql()),
+    "introspect_fields": (introspect_fields, "SELECT ord::BIGINT AS ord, name, kind, type, of_type FROM (VALUES (0, 'id', 'NON_NULL', NULL, 'ID'), (1, 'hash', 'NON_NULL', NULL, 'String'), (2, 'name', 'SCALAR', 'String', NULL), (3, 'key', 'SCALAR', 'Int', NULL), (4, 'tags', 'LIST', NULL, 'Int'), (5, 'region', 'OBJECT', 'Region', NULL), (6, 'twins', 'LIST', NULL, 'Nation')) t(ord, name, kind, type, of_type)"),
     "repo_time_travel": (repo_time_travel, "SELECT n_nationkey::BIGINT AS key, n_name AS was, CASE WHEN n_nationkey < 5 THEN 'NEW' ELSE n_name END AS name FROM nation"),
     "repo_branch_merge": (repo_branch_merge, "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey IN (4, 5, 6) THEN 'THEIRS' WHEN n_nationkey < 6 THEN 'OURS' ELSE n_name END AS name, CASE WHEN n_nationkey > 22 THEN 4 ELSE 3 END::BIGINT AS n_tags, CASE WHEN n_nationkey > 22 THEN 1 ELSE n_regionkey END::BIGINT AS last_tag FROM nation WHERE n_nationkey NOT IN (0, 20)"),
     "repo_commits": (repo_commits, "SELECT * FROM (VALUES (0::BIGINT, 2::BIGINT, false, true), (1, 1, false, false), (2, 1, false, false), (3, 1, true, false), (4, 0, false, false)) t(ord, parents, is_first, is_head)"),
@@ -299,8 +393,8 @@ _PLAIN: dict[str, tuple[Query, str]] = {
     "create_nested": (create_nested, "SELECT 'LEMURIA' AS nation, 'MU' AS region"),
     "update_set": (update_set, "SELECT p_partkey AS partkey, CASE WHEN p_size > 40 THEN 'BIG' ELSE p_brand END AS brand FROM part"),
     "update_result": (update_result, "SELECT p_partkey AS partkey, 1::BIGINT AS size FROM part WHERE p_size > 40"),
-    "update_append": (update_append, "WITH e AS (SELECT vec_id, CASE WHEN label = 1 THEN list_append(embedding::DOUBLE[], 7.0::DOUBLE) ELSE embedding::DOUBLE[] END AS x FROM embeddings) SELECT vec_id, len(x)::BIGINT AS n, x[-1] AS last FROM e"),
-    "update_list_filter": (update_list_filter, "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS n FROM embeddings"),
+    "update_append": (update_append, "WITH e AS (SELECT vec_id, CASE WHEN label = 1 THEN list_append(embedding::DOUBLE[], 7.0::DOUBLE) ELSE embedding::DOUBLE[] END AS x FROM embeddings) SELECT vec_id, (i - 1)::BIGINT AS at, x[i] AS x FROM (SELECT vec_id, x, unnest(range(1, len(x) + 1)) AS i FROM e)"),
+    "update_list_filter": (update_list_filter, "WITH e AS (SELECT vec_id, list_filter(embedding::DOUBLE[], lambda y: y > 0) AS x FROM embeddings) SELECT vec_id, (i - 1)::BIGINT AS at, x[i] AS x FROM (SELECT vec_id, x, unnest(range(1, len(x) + 1)) AS i FROM e)"),
     "update_relation": (update_relation, "SELECT n_nationkey::BIGINT AS nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -990) THEN 'POOR' ELSE n_name END AS name FROM nation"),
     "delete_remaining": (delete_remaining, "SELECT event_id FROM events WHERE NOT coalesce((CASE WHEN event_id % 7 <> 0 THEN value END) > 20, false)"),
     "delete_result": (delete_result, "SELECT event_id, value FROM events WHERE event_id % 7 <> 0 AND value > 90"),
@@ -317,7 +411,22 @@ _PLAIN: dict[str, tuple[Query, str]] = {
 def introspect_types(spark: SparkSession, d: str) -> DataFrame:
     schema, _ = tables(spark, d)
     rows = [(t["kind"], t["name"], len(t["fields"] or t["inputFields"] or [])) for t in schema.introspection()["types"]]
-    return spark.createDataFrame(rows, "kind string, name string, members int")
+    return spark.createDataFrame(rows, "kind string, name string, members long")
+
+
+#: Names and sizes of generated types follow from how many fields a collection declares.
+_TYPES_SQL = """
+WITH c(name, n) AS (VALUES ('Region', 2), ('Nation', 4), ('Customer', 5), ('Supplier', 4), ('Part', 6), ('Order', 7), ('Lineitem', 12), ('Document', 5), ('Label', 3), ('Event', 7), ('Embedding', 3)),
+r(kind, ending, fixed, more) AS (VALUES ('OBJECT', '', 0, 2), ('INPUT_OBJECT', 'CreateInput', 0, 1), ('INPUT_OBJECT', 'PatchInput', 0, 1), ('INPUT_OBJECT', 'FilterInput', 0, 3), ('INPUT_OBJECT', 'ListFilterInput', 3, 0), ('INPUT_OBJECT', 'ListPatchInput', 3, 0)),
+s(name, filters) AS (VALUES ('Int', 8), ('Float', 8), ('String', 8), ('Boolean', 2)),
+o(kind, name, n) AS (VALUES ('SCALAR', 'ID', 0), ('INPUT_OBJECT', 'IDFilterInput', 4), ('INPUT_OBJECT', 'IDPatchInput', 1), ('OBJECT', 'Commit', 1), ('OBJECT', '__Schema', 5), ('OBJECT', '__Type', 9), ('OBJECT', '__Field', 6),
+  ('OBJECT', '__InputValue', 4), ('OBJECT', '__EnumValue', 4), ('OBJECT', '__Directive', 4), ('ENUM', '__TypeKind', 0), ('ENUM', '__DirectiveLocation', 0))
+SELECT kind, c.name || ending AS name, (CASE WHEN fixed > 0 THEN fixed ELSE n + more END)::BIGINT AS members FROM c CROSS JOIN r
+UNION ALL SELECT 'SCALAR', name, 0 FROM s
+UNION ALL SELECT 'INPUT_OBJECT', name || e.ending, CASE e.ending WHEN 'FilterInput' THEN filters ELSE e.n END FROM s CROSS JOIN (VALUES ('FilterInput', 0), ('PatchInput', 1), ('ListFilterInput', 3), ('ListPatchInput', 3)) e(ending, n)
+UNION ALL SELECT kind, name, n FROM o
+UNION ALL SELECT 'OBJECT', 'Query', 2 * count(*) + 1 FROM c UNION ALL SELECT 'OBJECT', 'Mutation', 3 * count(*) FROM c
+"""
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -330,4 +439,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, _, s) in REQUESTS.items()} | {n: s for n, (_, s) in _PLAIN.items()}
+    return {n: s for n, (_, _, s) in REQUESTS.items()} | {n: s for n, (_, s) in _PLAIN.items()} | {"introspect_types": _TYPES_SQL}
