@@ -67,6 +67,8 @@ _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 GUESTS = 3
 SAMPLED = 8
 RANGES = 8192
+#: Ranges in a task, about.
+TASK_RANGES = 4
 
 #: Where a line stands.
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
@@ -313,7 +315,9 @@ def _guests(edges: list) -> list[tuple]:
 
 def main_texts(pages: DataFrame, rows: int = 1000) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; ``rows`` is about the pages of a range, of no more than ``RANGES``."""
-    placed = _placed(pages, max(rows, pages.count() // RANGES))
+    n = pages.count()
+    rows = max(rows, n // RANGES)
+    placed = _placed(pages, rows)
     columns = ["to", "host", "path", "page_id", "url", "html", "guest", "id"]
     dealt = placed.withColumn("to", F.col("range")).withColumn("guest", F.lit(False)).select(*columns)
     if guests := _guests(_edges(placed)):
@@ -323,6 +327,8 @@ def main_texts(pages: DataFrame, rows: int = 1000) -> DataFrame:
         sent = placed.alias("p").join(F.broadcast(g).alias("g"), [*on, h == F.col("g.h")])  # a few rows for each range
         sent = sent.select("g.to", *[f"p.{c}" for c in columns[1:6]], F.lit(True).alias("guest"), "p.id")
         dealt = dealt.union(sent.dropDuplicates(["to", "host", "path", "id", "html"]))
-    dealt = dealt.repartition("to").sortWithinPartitions("to", "host", "path", "id", F.xxhash64(F.coalesce("html", F.lit(""))))
+    # as many tasks as the pages need, whatever the session's number of partitions
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, n // (rows * TASK_RANGES))
+    dealt = dealt.repartition(tasks, "to").sortWithinPartitions("to", "host", "path", "id", F.xxhash64(F.coalesce("html", F.lit(""))))
     texts = dealt.mapInArrow(_extract, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))
