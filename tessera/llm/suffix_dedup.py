@@ -10,11 +10,14 @@ id. Equal strings must meet before they can be sorted together, so:
    this is a filter without false negatives.
 2. A chunk cuts the stretches whose windows elected such a gram (at most 84 bytes
    each) and sends the distinct ones, each with its least document id, to the
-   bucket of their gram. The distinct stretches of a bucket are one text on disk,
-   which is sorted by induction with disk-backed queues (``induced_sort``).
+   bucket of their gram. Equal windows have the gram at one place: of a stretch only
+   the part around the gram is kept that agrees, on either side, with some other
+   stretch of the gram as far as it reaches (again without false negatives). The
+   distinct parts of a bucket are one text on disk, which is sorted by induction
+   with disk-backed queues (``induced_sort``).
    Neighbouring suffixes with a common prefix of 50 bytes or more are one class,
    and the least id of a class decides for all its windows. A gram that has only
-   one distinct stretch has nothing to sort.
+   one distinct part has nothing to sort.
 3. A bucket answers each chunk with a bit per window: does it start in a document
    with a smaller id than the stretch's least here? Where a stretch stands in other
    documents of the chunk, it goes as a whole. Spans come back to their documents
@@ -53,6 +56,9 @@ GRAM = 16
 CHUNK_BYTES = 12 << 20
 GRAM_BYTES = 16 << 20
 STRETCH_BYTES = 8 << 20
+#: Stretches whose surroundings are compared at once, and rows of a block of these.
+SHARED_ROWS = 1 << 18
+BLOCK = 1 << 14
 #: Bound of each structure of a suffix sort.
 SORT_MEMORY = 40 << 20
 #: Most buckets that the table of texts has.
@@ -63,11 +69,11 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def elected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows that elect one gram: its hash, first and last window start, row."""
+    """Runs of windows that elect one gram: its hash, first and last window start, row, start of the gram."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray(n, "<u8", padded, strides=(1,)).copy()
     grams = n - GRAM + 1
@@ -87,7 +93,7 @@ def elected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(gram)) - 1
     good = valid[first]
     first, last = first[good], last[good]
-    return h[gram[first]], first, last, row[first]
+    return h[gram[first]], first, last, row[first], gram[first]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -109,14 +115,14 @@ class _Chunk:
         one = np.sort(np.unique(np.stack([ids, ties]), axis=1, return_index=True)[1])
         self.ids, self.ties = ids[one], ties[one]
         texts = table.column("text").combine_chunks() if len(one) == len(ids) else table.column("text").take(pa.array(one)).combine_chunks()
-        hashes, first, last, rows, parts = [], [], [], [], []
+        hashes, first, last, rows, places, parts = [], [], [], [], [], []
         at = 0
         for r, data, offsets in bytewise.blocks(texts):
-            h, a, b, row = elected(data, offsets)
-            hashes.append(h), first.append(a + at), last.append(b + at), rows.append(row + r), parts.append(offsets[:-1] + at)
+            h, a, b, row, place = elected(data, offsets)
+            hashes.append(h), first.append(a + at), last.append(b + at), rows.append(row + r), places.append(place - a), parts.append(offsets[:-1] + at)
             at += len(data)
         self.texts = texts
-        self.h, self.first, self.last, self.row = (np.concatenate(x) for x in (hashes, first, last, rows))
+        self.h, self.first, self.last, self.row, self.place = (np.concatenate(x) for x in (hashes, first, last, rows, places))
         self.start = np.concatenate(parts)
         grams, gram = np.unique(self.h, return_inverse=True)
         bucket = _bucket(grams, buckets)
@@ -205,10 +211,11 @@ def _stretches(table: pa.Table, reports: pa.Table, buckets: int, sorts: int) ->
     one, bucket, which = one[order], bucket[order], number[which]
     least = np.full(len(one), _NO_ID)
     np.minimum.at(least, which, chunk.ids[row])
+    shape = (n | chunk.place[run] << 8).astype("<u2")
     rows = []
     for k, at in _parts(bucket):
         r = one[at]
-        rows.append((name, k, gram[r].tobytes(), n[r].astype("<u2").tobytes(), least[at].astype("<i8").tobytes(), _gather(data, start[r], n[r]).tobytes(), None, None))
+        rows.append((name, k, gram[r].tobytes(), shape[r].tobytes(), least[at].astype("<i8").tobytes(), _gather(data, start[r], n[r]).tobytes(), None, None))
     places = np.stack([row, start - chunk.start[row], which]).astype("<u4")
     lengths = n[one].astype("<u2").tobytes()
     rows.append((name, -1, None, lengths, least.astype("<i8").tobytes(), None, np.stack([chunk.ids, chunk.ties]).astype("<i8").tobytes(), places.tobytes()))
@@ -229,11 +236,12 @@ class _Bucket:
         self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, chunk: int, grams: bytes, lengths: bytes, least: bytes, text: bytes) -> None:
-        n = np.frombuffer(lengths, "<u2").astype(np.int64)
+        shape = np.frombuffer(lengths, "<u2").astype(np.int64)
+        n, place = shape & 255, shape >> 8
         data, ends = np.frombuffer(text, np.uint8), np.cumsum(n)
         h = np.concatenate([bytewise.hash_runs(data, (ends - n)[i : i + 8192], ends[i : i + 8192]) for i in range(0, len(n), 8192)])
         self.chunks.append(chunk)
-        self.parts.append((np.frombuffer(grams, np.uint64), h, n, np.frombuffer(least, "<i8"), self.size + ends - n))
+        self.parts.append((np.frombuffer(grams, np.uint64), h, n, np.frombuffer(least, "<i8"), self.size + ends - n, place))
         self.file.write(text)
         self.size += len(text)
 
@@ -241,7 +249,7 @@ class _Bucket:
         """For each chunk: how many windows its stretches have, and a bit for each that a document with a smaller id has."""
         self.file.flush()
         raw = np.memmap(self.file, np.uint8, "r", shape=(self.size,))
-        gram, h, n, least, start = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
+        gram, h, n, least, start, place = (np.concatenate([p[i] for p in self.parts]) for i in range(6))
         order = np.lexsort((h, gram))
         new = np.concatenate([[True], (gram[order[1:]] != gram[order[:-1]]) | (h[order[1:]] != h[order[:-1]])])
         head = np.flatnonzero(new)
@@ -250,23 +258,88 @@ class _Bucket:
         one, owner = order[head], np.minimum.reduceat(least[order], head)
         of_gram = np.cumsum(np.concatenate([[True], gram[one[1:]] != gram[one[:-1]]])) - 1
         sort = np.flatnonzero(np.bincount(of_gram)[of_gram] > 1)  # the others' windows are in no other stretch
-        windows = n[one] - (WINDOW - 1)
-        base = np.full(len(one), -1)
-        base[sort] = np.cumsum(windows[sort]) - windows[sort]
-        by_window = least_owners(raw, start[one[sort]], n[one[sort]], owner[sort], memory) if len(sort) else np.zeros(0, np.int64)
+        some = one[sort]
+        skip, size = _shared(raw, of_gram[sort], start[some], n[some], place[some])
+        long_ = size >= WINDOW
+        sort, some, skip, size = sort[long_], some[long_], skip[long_], size[long_]
+        base, before, windows = np.full(len(one), -1), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        base[sort], by_window = _least(raw, of_gram[sort], start[some] + skip, size, owner[sort], memory)
+        before[sort], windows[sort] = skip, size - (WINDOW - 1)
         at = 0
-        for chunk, (_, _, lengths, own, _) in zip(self.chunks, self.parts):
+        for chunk, (_, _, lengths, own, _, _) in zip(self.chunks, self.parts):
             d = which[at : at + len(lengths)]
             at += len(lengths)
             k = lengths - (WINDOW - 1)
-            inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k + before[d], k)
             found = np.repeat(owner[d], k)
-            sorted_ = np.repeat(base[d], k)
-            some = sorted_ >= 0
-            found[some] = by_window[(sorted_ + inner)[some]]
+            some = (inner >= 0) & (inner < np.repeat(windows[d], k))
+            found[some] = by_window[(np.repeat(base[d], k) + inner)[some]]
             yield chunk, len(found), np.packbits(found < np.repeat(own, k)).tobytes()
 
 
+def _agreed(raw: np.ndarray, group: np.ndarray, at: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
+    """How many of the n bytes from places on, forwards or backwards, each may share with any other of its group."""
+    inner = np.arange(WINDOW - GRAM)
+    data = np.zeros((len(at), -(-len(inner) // 8) * 8), np.uint8)
+    for i in range(0, len(at), BLOCK):
+        j = slice(i, i + BLOCK)
+        here = inner < n[j, None]
+        data[j, : len(inner)][here] = raw[(at[j, None] + step * inner)[here]]
+    words = data.view(">u8")
+    order = np.lexsort((*(words[:, c] for c in range(words.shape[1] - 1, -1, -1)), group))
+    out = np.zeros(len(at) + 1, np.int64)  # with the one before in order
+    for i in range(1, len(at), BLOCK):
+        a, b = order[i - 1 : i - 1 + BLOCK][: len(at) - i], order[i : i + BLOCK]
+        differs = np.ones((len(b), len(inner) + 1), bool)
+        np.not_equal(data[a, : len(inner)], data[b, : len(inner)], out=differs[:, :-1])
+        out[i : i + len(b)] = np.where(group[a] == group[b], np.argmax(differs, axis=1), 0)
+    shared = np.empty(len(at), np.int64)
+    shared[order] = np.maximum(out[:-1], out[1:])
+    return np.minimum(shared, n)
+
+
+def _shared(raw: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each stretch that holds all its windows that others of its gram may have: bytes to skip, and length.
+
+    Equal windows have the gram at one place, so what is before and after it agrees as far as they reach.
+    """
+    skip, size = np.zeros(len(n), np.int64), n.copy()
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(n)), bool), group[1:] != group[:-1]]))
+    ends = np.append(new[1:], len(n))
+    a = 0
+    while a < len(new):  # whole groups, some at a time; one that is too large by itself is sorted as it is
+        b = max(a + 1, int(np.searchsorted(ends, new[a] + SHARED_ROWS, side="right")))
+        if ends[b - 1] - new[a] <= SHARED_ROWS:
+            at = slice(int(new[a]), int(ends[b - 1]))
+            g = start[at] + place[at]
+            left = _agreed(raw, group[at], g - 1, -1, place[at])
+            right = _agreed(raw, group[at], g + GRAM, 1, n[at] - place[at] - GRAM)
+            skip[at], size[at] = place[at] - left, left + GRAM + right
+        a = b
+    return skip, size
+
+
+def _least(raw: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of each part of a stretch begin, and for each of these the least owner; equal parts are sorted once."""
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.concatenate([_hashes(raw, start[i : i + 8192], n[i : i + 8192]) for i in range(0, len(n), 8192)])
+    order = np.lexsort((h, group))
+    new = np.concatenate([[True], (group[order[1:]] != group[order[:-1]]) | (h[order[1:]] != h[order[:-1]])])
+    head = np.flatnonzero(new)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one, least = order[head], np.minimum.reduceat(owner[order], head)
+    windows = n[one] - (WINDOW - 1)
+    base, by_window = np.cumsum(windows) - windows, np.repeat(least, windows)
+    of_gram = np.cumsum(np.concatenate([[True], group[one[1:]] != group[one[:-1]]])) - 1
+    several = np.bincount(of_gram)[of_gram] > 1
+    if several.any():
+        sort = one[several]
+        by_window[np.repeat(several, windows)] = least_owners(raw, start[sort], n[sort], least[several], memory)
+    return base[which], by_window
+
+
 def _text(raw: np.ndarray, start: np.ndarray, n: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
     """Stretches as symbols: bytes from 3 on, 2 after each, 1 after the last."""
     for i in range(0, len(n), size):

@@ -155,6 +155,41 @@ def test_suffix_dedup_passages(spark):
         assert got == want
 
 
+def test_suffix_dedup_sorts_what_may_repeat(monkeypatch):
+    """Around a passage of many documents stretches differ: only the parts that another stretch may have are sorted, and results stay."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(300)
+    texts = [letters(150) + passage[int(rng.integers(3)) : 290 + int(rng.integers(10))] + letters(150) for _ in range(120)]
+    texts += [texts[5][:200] + "\0\0" + texts[5][200:], texts[6][:201] + "x" + texts[6][202:], "ab" * 70, "ab" * 60 + "\0" * 60, "\0" * 70]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    want = {i: removed for i, _, removed, *_ in removed_by_force(rows)}
+    solve, sent = suffix_dedup.least_owners, []
+    monkeypatch.setattr(suffix_dedup, "least_owners", lambda raw, start, n, *more: (sent.append(int(n.sum())), solve(raw, start, n, *more))[1])
+    sorted_bytes = []
+    for most, block in ((1 << 19, 1 << 14), (50, 7), (1, 3)):
+        monkeypatch.setattr(suffix_dedup, "SHARED_ROWS", most)
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        sent.clear()
+        chunks = [pa.table({"chunk": pa.array([c] * len(r), pa.int32()), "doc_id": [i for i, _ in r], "tie": [0] * len(r), "text": [t for _, t in r]}) for c, r in enumerate((rows[::2], rows[1::2]))]
+        grams = pa.concat_tables(suffix_dedup._grams(t, 3) for t in chunks)
+        pick = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+        reports = pa.concat_tables(suffix_dedup._reported(pick(grams, "bucket", k)) for k in range(3) if pick(grams, "bucket", k).num_rows)
+        out = [suffix_dedup._stretches(t, pick(reports, "chunk", c), 3, 2) for c, t in enumerate(chunks)]
+        dealt = pa.concat_tables(out).select(["chunk", "bucket", "grams", "lengths", "least", "bytes"]).sort_by("bucket")
+        answers = pa.Table.from_batches(suffix_dedup._solve(dealt.filter(pa.compute.greater_equal(dealt.column("bucket"), 0)).combine_chunks().to_batches(), 3000))
+        got = dict.fromkeys(want, 0)
+        for c, t in enumerate(out):
+            for r in suffix_dedup._spans(pick(t, "bucket", -1), pick(answers, "chunk", c)).to_pylist():
+                spans = np.frombuffer(r["spans"], "<i8").reshape(-1, 2)
+                got[r["doc_id"]] = int((spans[:, 1] - spans[:, 0]).sum())
+        assert got == want
+        sorted_bytes.append(sum(sent))
+    assert 0 < sorted_bytes[0] < sorted_bytes[2] / 5
+
+
 def test_jaccard_join(docs, none):
     sets = {}
     for i, t, _ in ROWS:
