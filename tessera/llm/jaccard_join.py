@@ -323,6 +323,7 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     )
     by_bucket = postings.groupBy("bucket").applyInArrow(_lists, _LISTS)
     lists = tmp.table("lists", by_bucket.groupBy("list", "doc_id", "n", "k").agg(F.max("room").alias("room")))
+    tmp.drop()
 
     classes = profile.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("root"), F.count("*").alias("copies")).where("copies > 1")
     same = profile.join(classes, ["n", "d1", "d2"]).where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
@@ -339,18 +340,21 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     many = lists.where("k > 2").select("doc_id")
     asked_for = stars.select(F.col("leader").alias("doc_id")).union(stars.select("doc_id")).union(many).distinct()
     wanted = tmp.table("wanted", texts.select("doc_id", "text").join(asked_for.hint("merge"), "doc_id", "left_semi").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"]).drop("tie"))
+    tmp.drop()
 
     chunk = F.struct("leader", "salt").alias("chunk")
     first = tmp.table(
         "links-1",
         _verify(stars.select(chunk, F.col("leader").alias("doc_id")).distinct(), stars.select(chunk, "doc_id"), wanted).union(same),
     )
+    tmp.drop("stars")
     groups = components(first, tmp, "groups")
 
     # lists that still lie in several groups: each document against the chunks of the other groups there
     member = lists.where("k > 2").join(groups, lists["doc_id"] == groups["node"], "left").select("list", "doc_id", "n", "room", F.coalesce("root", "doc_id").alias("root"))
     split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     open_ = tmp.table("open", member.join(split, "list"))
+    tmp.drop("lists")
     inside = Window.partitionBy("root").orderBy("doc_id")
     numbered = open_.select("root", "doc_id", "n").distinct().withColumn("part", F.floor((F.row_number().over(inside) - 1) / CHUNK))
     chunks = tmp.table("chunks", numbered)
@@ -366,9 +370,13 @@ def _keyed_groups(docs: DataFrame) -> DataFrame:
     )
     place = F.struct("root", "part").alias("chunk")
     asked = tmp.table("asked", ask.select(place, "doc_id"))
+    tmp.drop("open")
     opened = chunks.select(place, "doc_id").join(asked.select("chunk").distinct(), "chunk")
     second = _verify(opened, asked, wanted)
-    roots = components(tmp.table("links-2", first.union(second)), tmp, "roots")
+    every = tmp.table("links-2", first.union(second))
+    tmp.drop("wanted", "chunks", "asked", "links-1")
+    roots = components(every, tmp, "roots")
+    tmp.drop("links-2")
     ids = profile.alias("p").join(roots.alias("r"), F.col("p.doc_id") == F.col("r.node"), "left")
     return ids.select(F.col("p.doc_id").alias("key"), "p.no_id", F.col("p.n").alias("n_shingles"), F.coalesce("r.root", "p.doc_id").alias("component_id"))
 
