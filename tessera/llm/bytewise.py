@@ -29,6 +29,16 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def mix_in(z: np.ndarray, scratch: np.ndarray | None = None) -> np.ndarray:
+    """``mix`` in place; the scratch array is overwritten."""
+    t = np.empty_like(z) if scratch is None else scratch
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        z ^= np.right_shift(z, np.uint64(shift), out=t)
+        if factor > 1:
+            z *= np.uint64(factor)
+    return z
+
+
 _BYTE = splitmix(256, 11)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _POWERS = np.ones(1, np.uint64)

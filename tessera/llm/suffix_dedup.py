@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise, native
-from .induced_sort import sorted_suffixes, text_file
+from .induced_sort import Sorter, sorted_suffixes, text_file
 from .scratch import Scratch
 
 WINDOW = 50
@@ -56,9 +56,11 @@ GRAM = 16
 CHUNK_BYTES = 12 << 20
 GRAM_BYTES = 16 << 20
 STRETCH_BYTES = 8 << 20
-#: Stretches whose surroundings are compared at once, and rows of a block of these.
-SHARED_ROWS = 1 << 18
+#: Most stretches whose surroundings are compared with each other, and rows of a block of these.
+SHARED_ROWS = 1 << 24
 BLOCK = 1 << 14
+#: Bytes of text whose grams are elected at once: the arrays of a number a byte then stay in a core's cache.
+ELECT_BYTES = 1 << 16
 #: Bound of each structure of a suffix sort.
 SORT_MEMORY = 40 << 20
 #: Most buckets that the table of texts has.
@@ -77,23 +79,30 @@ def elected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray(n, "<u8", padded, strides=(1,)).copy()
     grams = n - GRAM + 1
-    h = bytewise.mix(word[:grams] * _A + bytewise.mix(word[8 : 8 + grams] ^ _B))
-    low = (h >> np.uint64(32) << np.uint64(32)) | np.arange(grams, dtype=np.uint64)
+    h = bytewise.mix_in(word[8 : 8 + grams] ^ _B)
+    word = word[:grams]
+    word *= _A
+    h += word
+    bytewise.mix_in(h, word)
+    low = np.bitwise_and(h, np.uint64(0xFFFFFFFF00000000), out=word)
+    low |= np.arange(grams, dtype=np.uint64)
     span, have = WINDOW - GRAM + 1, 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    gram = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(len(gram))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(gram)]
-    valid = starts + WINDOW <= offsets[row + 1]
-    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (valid[1:] != valid[:-1]) | (row[1:] != row[:-1])])
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    cuts = np.concatenate([offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1)])  # where a row begins, and where its windows end
+    new[cuts[cuts < len(low)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(gram)) - 1
-    good = valid[first]
-    first, last = first[good], last[good]
-    return h[gram[first]], first, last, row[first], gram[first]
+    last = np.append(first[1:], len(low)) - 1
+    row = np.searchsorted(offsets, first, side="right") - 1
+    good = first + WINDOW <= offsets[row + 1]
+    first, last, row = first[good], last[good], row[good]
+    gram = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return h[gram], first, last, row, gram
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,7 +126,7 @@ class _Chunk:
         texts = table.column("text").combine_chunks() if len(one) == len(ids) else table.column("text").take(pa.array(one)).combine_chunks()
         hashes, first, last, rows, places, parts = [], [], [], [], [], []
         at = 0
-        for r, data, offsets in bytewise.blocks(texts):
+        for r, data, offsets in bytewise.blocks(texts, ELECT_BYTES):
             h, a, b, row, place = elected(data, offsets)
             hashes.append(h), first.append(a + at), last.append(b + at), rows.append(row + r), places.append(place - a), parts.append(offsets[:-1] + at)
             at += len(data)
@@ -259,7 +268,7 @@ class _Bucket:
         of_gram = np.cumsum(np.concatenate([[True], gram[one[1:]] != gram[one[:-1]]])) - 1
         sort = np.flatnonzero(np.bincount(of_gram)[of_gram] > 1)  # the others' windows are in no other stretch
         some = one[sort]
-        skip, size = _shared(raw, of_gram[sort], start[some], n[some], place[some])
+        skip, size = _shared(raw, of_gram[sort], start[some], n[some], place[some], memory)
         long_ = size >= WINDOW
         sort, some, skip, size = sort[long_], some[long_], skip[long_], size[long_]
         base, before, windows = np.full(len(one), -1), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
@@ -277,28 +286,38 @@ class _Bucket:
             yield chunk, len(found), np.packbits(found < np.repeat(own, k)).tobytes()
 
 
-def _agreed(raw: np.ndarray, group: np.ndarray, at: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
-    """How many of the n bytes from places on, forwards or backwards, each may share with any other of its group."""
+def _agreed(raw: np.ndarray, group: np.ndarray, at: np.ndarray, step: int, n: np.ndarray, memory: int) -> np.ndarray:
+    """How many of the n bytes from places on, forwards or backwards, each may share with any other of its group.
+
+    What is compared is put in order on disk beyond a bound of memory.
+    """
     inner = np.arange(WINDOW - GRAM)
-    data = np.zeros((len(at), -(-len(inner) // 8) * 8), np.uint8)
+    words = -(-len(inner) // 8)
+    ordered = Sorter(1 + words, memory)
     for i in range(0, len(at), BLOCK):
         j = slice(i, i + BLOCK)
         here = inner < n[j, None]
-        data[j, : len(inner)][here] = raw[(at[j, None] + step * inner)[here]]
-    words = data.view(">u8")
-    order = np.lexsort((*(words[:, c] for c in range(words.shape[1] - 1, -1, -1)), group))
-    out = np.zeros(len(at) + 1, np.int64)  # with the one before in order
-    for i in range(1, len(at), BLOCK):
-        a, b = order[i - 1 : i - 1 + BLOCK][: len(at) - i], order[i : i + BLOCK]
-        differs = np.ones((len(b), len(inner) + 1), bool)
-        np.not_equal(data[a, : len(inner)], data[b, : len(inner)], out=differs[:, :-1])
-        out[i : i + len(b)] = np.where(group[a] == group[b], np.argmax(differs, axis=1), 0)
-    shared = np.empty(len(at), np.int64)
-    shared[order] = np.maximum(out[:-1], out[1:])
+        data = np.zeros((len(here), words * 8), np.uint8)
+        data[:, : len(inner)][here] = raw[(at[j, None] + step * inner)[here]]
+        rows = np.empty((len(here), words + 2), np.uint64)
+        rows[:, 0], rows[:, 1:-1], rows[:, -1] = group[j], data.view(">u8"), np.arange(i, i + len(here))
+        ordered.add(rows)
+    shared, before = np.zeros(len(at), np.int64), None
+    for rows in ordered.blocks():
+        if before is not None:
+            rows = np.concatenate([before, rows])  # noqa: PLW2901
+        before = rows[-1:]
+        text = rows[:, 1:-1].astype(">u8").view(np.uint8)
+        differs = np.ones((len(rows) - 1, len(inner) + 1), bool)
+        np.not_equal(text[1:, : len(inner)], text[:-1, : len(inner)], out=differs[:, :-1])
+        same = np.where(rows[1:, 0] == rows[:-1, 0], np.argmax(differs, axis=1), 0)  # with the one before in order
+        number = rows[:, -1].astype(np.int64)
+        for which in (number[1:], number[:-1]):
+            shared[which] = np.maximum(shared[which], same)
     return np.minimum(shared, n)
 
 
-def _shared(raw: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared(raw: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """The part of each stretch that holds all its windows that others of its gram may have: bytes to skip, and length.
 
     Equal windows have the gram at one place, so what is before and after it agrees as far as they reach.
@@ -307,13 +326,13 @@ def _shared(raw: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(n)), bool), group[1:] != group[:-1]]))
     ends = np.append(new[1:], len(n))
     a = 0
-    while a < len(new):  # whole groups, some at a time; one that is too large by itself is sorted as it is
+    while a < len(new):  # whole groups, up to so many rows; one that is too large by itself is sorted as it is
         b = max(a + 1, int(np.searchsorted(ends, new[a] + SHARED_ROWS, side="right")))
         if ends[b - 1] - new[a] <= SHARED_ROWS:
             at = slice(int(new[a]), int(ends[b - 1]))
             g = start[at] + place[at]
-            left = _agreed(raw, group[at], g - 1, -1, place[at])
-            right = _agreed(raw, group[at], g + GRAM, 1, n[at] - place[at] - GRAM)
+            left = _agreed(raw, group[at], g - 1, -1, place[at], memory)
+            right = _agreed(raw, group[at], g + GRAM, 1, n[at] - place[at] - GRAM, memory)
             skip[at], size[at] = place[at] - left, left + GRAM + right
         a = b
     return skip, size

@@ -190,6 +190,27 @@ def test_suffix_dedup_sorts_what_may_repeat(monkeypatch):
     assert 0 < sorted_bytes[0] < sorted_bytes[2] / 5
 
 
+def test_suffix_dedup_cuts_large_groups():
+    """A gram of very many stretches: each keeps only what another may have, found in little memory."""
+    rng = np.random.default_rng(6)
+    m, reach = (1 << 18) + 999, suffix_dedup.WINDOW - suffix_dedup.GRAM
+    n, place = rng.integers(suffix_dedup.WINDOW, 85, m), np.full(m, reach)
+    text = rng.integers(97, 101, (m, 84), np.uint8)
+    text[:, reach : reach + suffix_dedup.GRAM] = 120
+    skip, size = suffix_dedup._shared(text.reshape(-1), np.zeros(m, np.int64), np.arange(m) * 84, n, place, 1 << 20)
+    agreed = []
+    for rows, most in ((text[:, reach - 1 :: -1], place), (text[:, reach + suffix_dedup.GRAM :], n - reach - suffix_dedup.GRAM)):
+        inside = np.arange(reach) < most[:, None]
+        texts = [bytes(r) for r in np.where(inside, rows, 0)]
+        order = sorted(range(m), key=texts.__getitem__)
+        with_next = [0, *(next((k for k in range(reach) if texts[a][k] != texts[b][k]), reach) for a, b in zip(order, order[1:])), 0]
+        agreed.append(np.zeros(m, np.int64))
+        agreed[-1][order] = np.maximum(with_next[1:], with_next[:-1])
+        agreed[-1] = np.minimum(agreed[-1], most)
+    assert (skip == reach - agreed[0]).all() and (size == agreed[0] + suffix_dedup.GRAM + agreed[1]).all()
+    assert size.sum() < n.sum() * 0.7
+
+
 def test_jaccard_join(docs, none):
     sets = {}
     for i, t, _ in ROWS:
