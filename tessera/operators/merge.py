@@ -45,3 +45,15 @@ def three_way(base: DataFrame, own: DataFrame, other: DataFrame, key: str = "id"
     )
     rows = joined.select(key, result.alias("r")).where(F.col("r").isNotNull())
     return rows.select(key, *[F.col("r")[f].alias(f) for f in fields])
+
+
+def by_hash(base: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+    """Manifests merged as far as hashes decide: ``id, hash, b, o, t, clash``. What one side left as it was is as the
+    other has it; where both sides changed a document, each in its way, ``clash`` is true and its properties decide.
+    """
+    side = lambda d, s: d.select(F.col("doc_id").alias("id"), F.col("doc_hash").alias(s))
+    joined = side(base, "b").join(side(own, "o"), "id", "full").join(side(other, "t"), "id", "full")
+    b, o, t = F.col("b"), F.col("o"), F.col("t")
+    decided = F.when(o.eqNullSafe(t) | t.eqNullSafe(b), o).when(o.eqNullSafe(b), t)
+    clash = ~o.eqNullSafe(t) & ~t.eqNullSafe(b) & ~o.eqNullSafe(b)
+    return joined.select("id", decided.alias("hash"), "b", "o", "t", clash.alias("clash")).where("clash or hash is not null")

@@ -154,7 +154,8 @@ class _Run:
     def _rows(self, name: str, rows: DataFrame, f: Field) -> list[dict]:
         selection = self.request.document_fields(name, f.selection, f.at)
         rows = rows.withColumn("_order", F.col("id"))
-        got = Projector(self.schema, self.tx.snapshot, strict=True).project(name, rows, selection, ("_order",)).orderBy("_order").collect()
+        got = Projector(self.schema, self.tx.snapshot, strict=True).project(name, rows, selection, ("_order",)).collect()
+        got.sort(key=lambda r: (r["_order"] is not None, r["_order"]))  # all are here; code points order as Spark's bytes do
         return [{k: v for k, v in r.asDict(recursive=True).items() if k != "_order"} for r in got]
 
     def query(self, f: Field) -> Any:

@@ -17,14 +17,17 @@ import json
 import tempfile
 import uuid
 from collections import ChainMap
-from typing import Protocol
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any, Protocol
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history
-from ..operators.merge import Resolver, three_way
+from ..operators.merge import Resolver, by_hash, three_way
 from ..operators.merge import theirs as take_theirs
 from ..operators.mutate import Mutations
 from ..plans.schema import Schema
@@ -32,10 +35,22 @@ from ..plans.syntax import RequestError
 from .external import Snapshot
 
 
+#: Manifests of so many rows are put in order by one task, which takes one job instead of three.
+ONE_TASK = 50_000
+
+
 def digest(*parts: str) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
+def at_once(spark: SparkSession, *actions: Callable[[], Any]) -> list:
+    """What the actions give, in order; up to eight run side by side, with their Spark jobs."""
+    inherits = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, min(len(actions), 8))) as pool:
+        running = [pool.submit(a if inherits is spark else inherits(a)) for a in actions]
+    return [r.result() for r in running]
+
+
 class Files:
     """Small files on any file system that Spark knows."""
 
@@ -188,8 +203,7 @@ class Transaction(Mutations):
     def commit(self) -> str:
         """One commit on the base, also if nothing changed."""
         root = dict(self.repo.data_root(self.base))
-        for name in self.changed:
-            root[name] = self.repo._store(name, self.snapshot[name])
+        root |= self.repo._stored({name: self.snapshot[name] for name in self.changed})
         made = self.repo._commit(root, [self.base])
         self.snapshot = ChainMap({}, Snapshot({n: lambda n=n: self.repo.snapshot(n, made) for n in self.schema.types}))
         self.base, self.changed = made, set()
@@ -232,7 +246,8 @@ class Repository:
             raise RequestError("a repository is there already")
         repo.files.fs.mkdirs(repo.files._path(""))
         repo.files.write("schema.graphql", source)
-        root = {n: repo._store(n, spark.createDataFrame([], repo.schema.struct(n))) for n in repo.schema.types}
+        nothing = lambda n: spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in repo.schema.struct(n).fields])
+        root = repo._stored({n: nothing(n) for n in repo.schema.types})
         for folder in ("heads", "pending"):
             repo.files.fs.mkdirs(repo.files._path(folder))
         if not repo._set_head(0, repo._commit(root, [])):
@@ -311,12 +326,20 @@ class Repository:
 
     # writing
 
-    def _store(self, name: str, frame: DataFrame) -> str:
-        """New documents are appended, and the manifest is written under the digest of what it holds."""
+    def _stored(self, frames: dict[str, DataFrame]) -> dict[str, str]:
+        """Collections' new documents and manifests; the versions of these."""
+        parts = [x for n, f in frames.items() for x in (lambda n=n, f=f: self._append(n, f), lambda n=n, f=f: self._version(n, f))]
+        return dict(zip(frames, at_once(self.spark, *parts)[1::2]))
+
+    def _append(self, name: str, frame: DataFrame) -> None:
+        """New documents are appended."""
         docs = frame.drop("id").dropDuplicates(["hash"])
         if self.files.exists(f"docs/collection={name}"):
             docs = docs.join(self._docs(name).select("hash"), "hash", "left_anti")
         docs.select(*[n for n in self.schema.struct(name).names if n != "id"]).write.mode("append").parquet(f"{self.path}/docs/collection={name}")
+
+    def _version(self, name: str, frame: DataFrame) -> str:
+        """The manifest, written under the digest of what it holds."""
         manifest = frame.select(F.col("id").alias("doc_id"), F.col("hash").alias("doc_hash"))
         row = F.sha2(F.concat_ws("\n", "doc_id", "doc_hash"), 256)
         halves = [F.sum(F.conv(F.substring(row, i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 16, 31, 46)]
@@ -324,7 +347,8 @@ class Repository:
         version = digest(name, *[x or "" for x in sums])
         at = f"manifests/collection={name}/version={version}"
         if not self.files.exists(at):
-            manifest.orderBy("doc_id").write.mode("overwrite").parquet(f"{self.path}/{at}")
+            ordered = manifest.coalesce(1).sortWithinPartitions("doc_id") if int(sums[0]) <= ONE_TASK else manifest.orderBy("doc_id")
+            ordered.write.mode("overwrite").parquet(f"{self.path}/{at}")
         return version
 
     def _commit(self, root: dict[str, str], parents: list[str]) -> str:
@@ -369,13 +393,25 @@ class Repository:
             elif y == x:
                 root[name] = z
             else:
-                sides = [self.snapshot(name, c) for c in (base, head, other)]
-                merged = three_way(*sides, resolver=resolver or self.resolver, fields=[n for n in self.schema.struct(name).names if n not in ("id", "hash")])
                 work = self.transaction(head)
-                root[name] = self._store(name, work._settled(name, work.hashed(name, merged)))
-                work.close()
+                try:
+                    root[name] = self._merged_version(name, work, (x, y, z), resolver or self.resolver)
+                finally:
+                    work.close()
         return self._commit(root, [head, other])
 
+    def _merged_version(self, name: str, work: Transaction, versions: tuple[str, str, str], resolver: Resolver) -> str:
+        """Three versions of a collection merged; only documents that both sides changed are read."""
+        pairs = work._settled(name, by_hash(*[self.manifest(name, v) for v in versions]))
+        kept, clash = pairs.where("not clash").select("id", "hash"), pairs.where("clash")
+        if clash.isEmpty():
+            return self._version(name, kept)
+        fields = [n for n in self.schema.struct(name).names if n not in ("id", "hash")]
+        docs = self._docs(name).select(F.col("hash").alias("_hash"), F.struct(*fields).alias("_doc"))
+        sides = [clash.select("id", F.col(s).alias("_hash")).join(docs, "_hash").select("id", "_doc.*") for s in "bot"]
+        merged = work._settled(name, work.hashed(name, three_way(*sides, resolver=resolver, fields=fields)))
+        return at_once(self.spark, lambda: self._append(name, merged), lambda: self._version(name, kept.unionByName(merged.select("id", "hash"))))[1]
+
     def frame(self, query: str, variables: dict | None = None, at: str | None = None) -> dict[str, DataFrame]:
         """A lazy DataFrame for each root field of a query."""
         from ..plans.execute import frames
